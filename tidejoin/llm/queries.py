@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidejoin.llm.bpe import bpe_round_trip
+from tidejoin.llm import decontaminate, lines
 from tidejoin.llm.pii import personal_data
 from tidejoin.llm.quality import COUNTS, quality_verdicts
 
@@ -37,9 +38,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": op2_line_dedup,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_quality_forest": op7_quality_forest,
+    "op9_decontaminate": op9_decontaminate,
     "op10_personal_data": op10_personal_data,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": lines.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}
