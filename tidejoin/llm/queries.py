@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidejoin.llm.bpe import bpe_round_trip
 from tidejoin.llm import decontaminate, lines
+from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.pii import personal_data
 from tidejoin.llm.quality import COUNTS, quality_verdicts
 
@@ -24,6 +25,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -49,6 +54,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_minhash": op3_minhash,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_quality_forest": op7_quality_forest,
     "op9_decontaminate": op9_decontaminate,
