@@ -11,6 +11,7 @@ from tidejoin.llm import decontaminate, lines
 from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.pii import personal_data
 from tidejoin.llm.quality import COUNTS, quality_verdicts
+from tidejoin.llm.suffixes import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
     "op6_bpe_tree": op6_bpe_tree,
