@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidejoin.llm.bpe import bpe_round_trip
-from tidejoin.llm import decontaminate, lines
+from tidejoin.llm import decontaminate, fixity, lines
 from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.pii import personal_data
 from tidejoin.llm.quality import COUNTS, quality_verdicts
@@ -30,6 +30,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
+    "op4_warc_fixity": op4_warc_fixity,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_quality_forest": op7_quality_forest,
     "op9_decontaminate": op9_decontaminate,
@@ -68,5 +73,6 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
+    "op4_warc_fixity": fixity.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }

@@ -50,12 +50,13 @@ class Words:
     of each word; first: the index of each text's first word (one more than texts).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, outside: np.ndarray = _SPACE):
+        """outside: for each byte value, whether it parts words."""
         offsets, data = _buffers(texts)
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = ~outside[self.data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.zeros(n, bool)
