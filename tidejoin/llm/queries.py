@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidejoin.llm.attention import language_scores
 from tidejoin.llm.bpe import bpe_round_trip
-from tidejoin.llm import decontaminate, fixity, lines
+from tidejoin.llm import decontaminate, fixity, lines, toxicity
 from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.pii import personal_data
 from tidejoin.llm.quality import COUNTS, quality_verdicts
@@ -34,6 +36,14 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("starts").alias("n_passages"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -56,6 +66,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_scores(table(spark, sf_dir, "documents"), "NOT coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2, false)")
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -66,8 +81,10 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
     "op4_warc_fixity": op4_warc_fixity,
+    "op5_toxic_segments": op5_toxic_segments,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_quality_forest": op7_quality_forest,
+    "op8_attention_scores": op8_attention_scores,
     "op9_decontaminate": op9_decontaminate,
     "op10_personal_data": op10_personal_data,
 }
