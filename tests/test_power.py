@@ -52,7 +52,7 @@ def test_run_statistics(spark):
     assert none.latency_ms is None and none.out_count == 0
     histogram = stats.output_histogram(pairs, 2).collect()
     assert sum(h.n for h in histogram) == 1280 and len(histogram) == 11
-    assert tuple(stats.expired_counts(r, s, 5, 15).first()) == (481, 161)
+    assert tuple(stats.expired_counts(r, s, 5, 15).first()) == (480, 160)
     assert stats.table_buckets(10, 131072) == 65536 and stats.table_buckets(1, 1) == 1
 
 
