@@ -75,6 +75,22 @@ def test_counts_and_learning(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_every_learning_token_is_trained_on(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(f"{(i * 37 + k) % 9000 + 1000}" for k in range(n)) for i, n in enumerate((0, 1, 31, 32, 33, 500, 700))]
+    t = A.Tokens.of(pa.array(texts))
+    monkeypatch.setattr(A, "TASK_WINDOWS", 7)
+    shards = list(A._shards(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 2)))
+    assert {len(s) for s in shards[:-1]} == {7}
+    found = np.concatenate(shards)
+    real = found[:, 2] >= 0
+    assert Counter(found[:, 2][real].tolist()) == Counter(t.sequences()[2].tolist() * 2)
+    assert Counter(found[:, 0][real].tolist()) == Counter(t.sequences()[0].tolist() * 2)
+    w = A.fit_attention(docs(spark, texts).selectExpr("text", "doc_id AS id"), np.ones(A.CLASSES + 1, np.int64))
+    assert (w["start"] != A.first_weights()["start"])[t.start].any(1).all()
+
+
 def test_odd_and_empty_tables(spark):
     assert A.language_scores(empty_docs(spark), "true").count() == 0
     found = A.language_scores(odd_docs(spark), "doc_id <> 6").collect()

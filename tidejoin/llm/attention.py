@@ -10,9 +10,11 @@ is scored once, with some context before it; padding is masked.
 Plan: word counts of blocks of documents are made next to the scan and added up by word (partial
 aggregation; 64-bit hashes stand for words), then sent back to the blocks that hold the words, so
 neither counts nor vocabulary ever meet in one place; only sums by class (257) come to the
-driver. Training takes a window from each stretch of EVERY tokens of every learning document; each
-task trains from the same start and the weights, of fixed size, are averaged by an aggregation, for
-ROUNDS rounds. Scoring groups each block with its counts.
+driver. Training reads every token of every learning document once, next to the scan: a document's
+consecutive windows belong to one of ROUNDS rounds, by a hash of id and text; in a round a task trains a
+model on each TASK_WINDOWS windows, all from the same start, and the weights, of fixed size, are averaged
+by an aggregation. Nothing but weights is shuffled; how the input is split decides which windows share a
+model, so scores (not counts and base scores) vary a little with it. Scoring groups each block with its counts.
 
 Defined results: null and empty texts are one token, the end; words are as in the base measure; rows
 without an id belong to blocks of their own; repeated rows count and score alike; with nothing to learn
@@ -35,8 +37,8 @@ from tidejoin.llm.text import Words, mix64, slices
 CLASSES, STARTS, TAILS = 256, 1024, 512
 WIDTH, INNER = 16, 32
 CONTEXT, STRIDE = 32, 24
-#: Learning tokens for each training window, rounds of averaging, windows that one task trains on at least.
-EVERY, ROUNDS, TASK_WINDOWS = 512, 2, 20_000
+#: Rounds of averaging, and windows from which one model is trained before it is averaged with others.
+ROUNDS, TASK_WINDOWS = 2, 20_000
 #: Windows of a training step, and steps of a task in a round at least.
 BATCH, LEAST_STEPS = 32, 100
 #: Documents of a block: ids of the same multiple.
@@ -81,31 +83,50 @@ def hidden(w: Weights, start: np.ndarray, tail: np.ndarray) -> dict[str, np.ndar
     return {"x": x, "q": q, "k": k, "v": v, "s": s, "a": a, "y": y, "h": h, "z": y + h @ w["w2"]}
 
 
+_scratch: dict[tuple, np.ndarray] = {}
+
+
+def _logits(w: Weights, z: np.ndarray) -> np.ndarray:
+    """Logits of rows of hidden states, less the greatest of each row, in memory that the next call uses again."""
+    kind = len(z), z.dtype
+    if kind not in _scratch:
+        if len(_scratch) > 8:
+            _scratch.clear()
+        _scratch[kind] = np.empty((len(z), CLASSES + 1), z.dtype)
+    out = np.matmul(z, w["u"], out=_scratch[kind])
+    out += w["c"]
+    out -= out.max(-1, keepdims=True)
+    return out
+
+
 def class_log_probs(w: Weights, z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, for rows of hidden states."""
-    logits = z @ w["u"] + w["c"]
-    logits -= logits.max(-1, keepdims=True)
-    picked = logits[np.arange(len(target)), target]
-    np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(-1))
+    out = np.zeros(len(z), z.dtype)
+    for low in range(0, len(z), 1024):
+        rows = z[low : low + 1024]
+        logits = _logits(w, rows)
+        out[low : low + 1024] = logits[np.arange(len(rows)), target[low : low + 1024]]
+        np.exp(logits, out=logits)
+        out[low : low + 1024] -= np.log(logits.sum(-1))
+    return out
 
 
 def gradients(w: Weights, start: np.ndarray, tail: np.ndarray, target: np.ndarray) -> tuple[float, Weights]:
     """Mean loss over targets of 0 and more, and its gradients."""
     f = hidden(w, start, tail)
-    real = target >= 0
-    p = f["z"] @ w["u"] + w["c"]
-    p -= p.max(-1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(-1, keepdims=True)
-    n = max(1, int(real.sum()))
-    rows, at = np.nonzero(real)
-    loss = -float(np.log(p[rows, at, target[rows, at]] + 1e-30).sum()) / n
-    p[rows, at, target[rows, at]] -= 1
-    p *= real[..., None] / np.float32(n)
     two = lambda a: a.reshape(-1, a.shape[-1])
-    g: Weights = {"u": two(f["z"]).T @ two(p), "c": two(p).sum(0)}
-    dz = p @ w["u"].T
+    real = target.ravel() >= 0
+    n = max(1, int(real.sum()))
+    p = _logits(w, two(f["z"]))
+    np.exp(p, out=p)
+    sums = p.sum(-1)
+    rows = np.flatnonzero(real)
+    picked = target.ravel()[rows]
+    loss = -float(np.log(p[rows, picked] / sums[rows] + 1e-30).sum()) / n
+    p *= (real / (sums * np.float32(n)))[:, None]
+    p[rows, picked] -= np.float32(1 / n)
+    g: Weights = {"u": two(f["z"]).T @ p, "c": np.ones(len(p), p.dtype) @ p}
+    dz = (p @ w["u"].T).reshape(f["z"].shape)
     dh = (dz @ w["w2"].T) * (f["h"] > 0)
     g["w2"], g["w1"], g["b1"] = two(f["h"]).T @ two(dz), two(f["y"]).T @ two(dh), two(dh).sum(0)
     dy = dz + dh @ w["w1"].T
@@ -121,8 +142,10 @@ def gradients(w: Weights, start: np.ndarray, tail: np.ndarray, target: np.ndarra
     g["place"] = np.zeros(_SHAPES["place"], np.float32)
     g["place"][: start.shape[1]] = dx.sum(0)
     for name, ids in (("start", start), ("tail", tail)):
+        order = np.argsort(ids, axis=None, kind="stable")
+        known, at = np.unique(ids.ravel()[order], return_index=True)
         g[name] = np.zeros(_SHAPES[name], np.float32)
-        np.add.at(g[name], ids.ravel(), two(dx))
+        g[name][known] = np.add.reduceat(two(dx)[order], at, axis=0)
     return loss, g
 
 
@@ -169,50 +192,56 @@ class Tokens:
         return start, tail, target, first
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows of learning texts: places within each EVERY tokens, by a hash of the text's beginning.
+def _windows(t: Tokens) -> np.ndarray:
+    """(windows, 3, CONTEXT): start ids, tail ids and targets of consecutive windows, in which each token is a target once.
 
-    The id has a part in where a window is trained on, so that copies of a text are dealt over all tasks.
+    They are mixed by a hash of their place, so that a step does not see one text alone.
     """
+    start, tail, target, first = t.sequences()
+    length = np.diff(first)
+    each = -(-length // CONTEXT)
+    text = np.repeat(np.arange(len(length)), each)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
+    place = (number * CONTEXT)[:, None] + np.arange(CONTEXT)
+    real = place < length[text][:, None]
+    place = first[text][:, None] + np.minimum(place, length[text][:, None] - 1)
+    mixed = np.argsort(mix64(np.arange(len(text), dtype=np.uint64)))
+    return np.stack((start[place], tail[place], np.where(real, target[place], -1)), 1)[mixed].astype(np.int16)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """All windows of a task's texts, TASK_WINDOWS at a time."""
+    held, count = [], 0
     for batch in batches:
-        ids_of = batch.column(1).fill_null(-1).to_numpy().view(np.uint64)
         for low, high in slices(batch.column(0)):
-            t = Tokens.of(batch.column(0).slice(low, high - low))
-            start, tail, target, first = t.sequences()
-            length = np.diff(first)
-            each = -(-length // EVERY)
-            text = np.repeat(np.arange(len(length)), each)
-            stretch = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-            seed = t.words.span_hash(t.words.offsets[:-1], np.minimum(t.words.offsets[1:], t.words.offsets[:-1] + 64))[text]
-            room = np.maximum(1, np.minimum(EVERY, length[text] - stretch * EVERY) - CONTEXT + 1)
-            at = stretch * EVERY + (mix64(seed + stretch.astype(np.uint64)) % room.astype(np.uint64)).astype(np.int64)
-            place = at[:, None] + np.arange(CONTEXT)
-            real = place < length[text][:, None]
-            place = first[text][:, None] + np.minimum(place, length[text][:, None] - 1)
-            ids = np.stack((start[place], tail[place], np.where(real, target[place], -1)), 1).astype(np.int16)
-            dealt = mix64(mix64(seed ^ np.uint64(0xABCDEF)) + ids_of[low:high][text] * np.uint64(EVERY) + stretch.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array([x.tobytes() for x in ids], pa.binary())], ["place", "ids"])
+            found = _windows(Tokens.of(batch.column(0).slice(low, high - low)))
+            while count + len(found) >= TASK_WINDOWS:
+                yield np.concatenate([*held, found[: TASK_WINDOWS - count]])
+                found, held, count = found[TASK_WINDOWS - count :], [], 0
+            held.append(found)
+            count += len(found)
+    if count:
+        yield np.concatenate(held)
 
 
 def _trained(w: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [x for b in batches for x in b.column("ids").to_pylist()]
-        if found:
-            ids = np.frombuffer(b"".join(found), np.int16).reshape(-1, 3, CONTEXT).astype(np.int64)
-            again = np.tile(ids, (max(1, -(-LEAST_STEPS * BATCH // len(ids))), 1, 1))  # few windows are gone through more often
-            out = flat(train(unflat(w), again[:, 0], again[:, 1], again[:, 2]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out.astype(np.float64) * len(ids)), pa.array(np.full(len(out), len(ids)))], ["i", "w", "n"])
+        total, n = np.zeros(len(w)), 0
+        for ids in _shards(batches):
+            again = np.tile(ids, (max(1, -(-LEAST_STEPS * BATCH // len(ids))), 1, 1)).astype(np.int64)  # few windows are gone through more often
+            total += flat(train(unflat(w), again[:, 0], again[:, 1], again[:, 2])).astype(np.float64) * len(ids)
+            n += len(ids)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(total), pa.array(np.full(len(w), n))], ["i", "w", "n"])
 
     return run
 
 
 def fit_attention(texts: DataFrame, class_tokens: np.ndarray) -> Weights:
-    """Weights learned from columns text and id of all rows; class frequencies are the start."""
-    windows = staged(texts.select("text", "id").mapInArrow(_windows, "place long, ids binary"), "windows")
-    tasks = max(1, min(1_000, windows.count() // ROUNDS // TASK_WINDOWS))
+    """Weights learned from all of columns text and id; class frequencies are the start."""
     w = flat(first_weights() | {"c": np.log((class_tokens + 0.5) / (class_tokens + 0.5).sum()).astype(np.float32)})
     for k in range(ROUNDS):
-        part = windows.where(F.pmod("place", F.lit(ROUNDS)) == k).repartition(tasks, "place").sortWithinPartitions("place")
+        part = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).select("text")
         mean = part.mapInArrow(_trained(w), "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
         found = mean.toPandas()  # as many rows as the model has weights
         if len(found):
