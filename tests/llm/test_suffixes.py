@@ -48,6 +48,28 @@ def test_every_partitioning_gives_the_same(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_popular_seeds_hide_no_passage(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        passage = fresh(rng.choice((50, 50, 53, 58)))
+        pair = [fresh(20) + passage + fresh(20) for _ in range(2)]
+        texts += pair
+        for _ in range(60):  # 49 words of one of the two: too few for a passage, but often the whole seed
+            low = rng.randrange(5, 40)
+            texts.append(fresh(16) + rng.choice(pair)[low : low + 49] + fresh(16))
+    texts = [" ".join(t) for t in texts]
+    expected = brute(list(enumerate(texts)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert covered(repeated_passages(docs(spark, texts)).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_odd_and_empty_tables(spark):
     assert repeated_passages(empty_docs(spark)).count() == 0
     assert repeated_passages(odd_docs(spark)).count() == 0

@@ -3,18 +3,18 @@
 Suffixes are kept only where the least GRAM-word hash of 16 neighbouring ones begins. Every stretch of
 MIN_WORDS words holds such a place among its first 16 words, chosen by the stretch alone, so both of
 its occurrences keep the same suffix with SEED words of the stretch to its right. The suffixes are
-sorted by the hash of those SEED words, then by the words around them; neighbours of different
-documents are compared and matches extended left and right, word by word, over the REACH words that a
-suffix carries on either side. Longer passages hold many kept suffixes, and their matches are united.
+sorted by the hash of those SEED words, then by the words around them, of which a suffix carries REACH on
+either side. For each way to share REACH words out to the left and the right, the suffixes of a seed are
+grouped by all MIN_WORDS words; a group of two documents or more is a match. So every shared stretch is
+found, whatever else holds its seed. Longer passages hold many kept suffixes, and their matches are united.
 
 Plan: one Arrow pass makes about one row for eight words, range-partitioned and sorted by (seed,
 surroundings, document), so a passage in a third of all documents is dealt over as many partitions as
-it needs; a partition's first and last rows meet their neighbours in a second, tiny sort. No pairs are
-listed: a suffix is compared with four neighbours at most. Matches are united per document.
+it needs. Seeds are grouped within a partition. Other partitions may hold its first and last seed too:
+stretches of these that one document alone has there are joined with those that several documents have by
+an aggregation over the two least documents of each partition. No pairs are listed. Matches are united per document.
 
 Surrounding words are compared by 16-bit hashes: an end may reach a word too far once in 65,536.
-A suffix whose neighbours in both orders are cut short by other contexts of the same seed may leave
-part of a passage to its other suffixes.
 
 Defined results: null, empty and shorter texts have no passages; rows without an id are not compared;
 repeated rows, being one document, do not match each other; columns beside id and text are not read.
@@ -94,70 +94,97 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _same(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many leading entries of each row agree, up to `most`."""
-    run = np.cumprod(a == b, axis=1).sum(1)
-    return np.minimum(run, most)
+def _chunks(seed: np.ndarray, rows: np.ndarray, most: int = 65_536) -> Iterator[np.ndarray]:
+    """rows, which are in order of seed, in parts of about `most` that do not divide a seed."""
+    starts = np.flatnonzero(np.concatenate(([True], seed[rows][1:] != seed[rows][:-1]))) if len(rows) else np.zeros(0, int)
+    low = 0
+    while low < len(rows):
+        at = np.searchsorted(starts, low + most)
+        high = int(starts[at]) if at < len(starts) else len(rows)
+        yield rows[low:high]
+        low = high
+
+
+def _splits(seed: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words to the left: (number, rows that carry as many and the rest to the right, hash of these MIN_WORDS words)."""
+    words = np.ascontiguousarray(around[:, : 4 * REACH]).view(np.uint16).astype(np.uint64) + np.uint64(1)
+    add = lambda h, w: mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
+    right = [np.full(len(seed), 7, np.uint64)]
+    for k in range(REACH):
+        right.append(add(right[-1], words[:, REACH + k]))
+    left = mix64(seed.view(np.uint64))
+    for i in range(REACH + 1):
+        rows = np.flatnonzero((around[:, 4 * REACH] >= i) & (around[:, 4 * REACH + 1] >= REACH - i))
+        yield i, rows, add(left[rows], right[REACH - i][rows])
+        if i < REACH:
+            left = add(left, words[:, i])
+
+
+def _least_two(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group of each row, keys of groups, least document of each, next document of each or the same if there is none)."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    number = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    second = d[first]
+    other = np.flatnonzero(~new & np.concatenate(([False], d[1:] != d[:-1])))
+    of, at = np.unique(number[other], return_index=True)
+    second[of] = d[other[at]]
+    group = np.empty(len(key), np.int64)
+    group[order] = number
+    return group, k[first], d[first], second
 
 
 def _matches(doc: np.ndarray, at: np.ndarray, seed: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, other document) of the rows, sorted by seed, that match a neighbour of another document."""
-    n = len(doc)
-    words = np.ascontiguousarray(around[:, : 4 * REACH]).view(np.uint16)
-    left, right, room = words[:, :REACH], words[:, REACH:], around[:, 4 * REACH :].astype(np.int64)
-    start, end, other = at.astype(np.int64) + 10**9, np.zeros(n, np.int64), np.zeros(n, np.int64)
-    hit = np.zeros(n, bool)
-    weights = mix64(np.arange(1, REACH + 1, dtype=np.uint64))
-    by_right = np.lexsort((doc, (mix64(right.astype(np.uint64) + weights)).sum(1, dtype=np.uint64), seed))
-    for order in (np.arange(n), by_right):
-        d, s = doc[order], seed[order]
-        change = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1]))))
-        run = np.cumsum(np.concatenate(([False], (d[1:] != d[:-1]) | (s[1:] != s[:-1]))))
-        before = change[run] - 1
-        after = np.append(change[1:], n)[run]
-        for j in (before, after):
-            ok = (j >= 0) & (j < n)
-            ok[ok] = s[j[ok]] == s[ok]
-            i, k = order[ok], order[j[ok]]
-            grow_left = _same(left[i], left[k], np.minimum(room[i, 0], room[k, 0]))
-            grow_right = _same(right[i], right[k], np.minimum(room[i, 1], room[k, 1]))
-            enough = grow_left + grow_right + SEED >= MIN_WORDS
-            i, k = i[enough], k[enough]
-            start[i] = np.minimum(start[i], at[i] - grow_left[enough])
-            end[i] = np.maximum(end[i], at[i] + SEED + grow_right[enough])
-            other[i] = np.where(hit[i], np.minimum(other[i], doc[k]), doc[k])
-            hit[i] = True
-    rows = np.flatnonzero(hit)
-    return rows, start[rows], end[rows], other[rows]
-
-
-_FOUND = "doc long, start int, end int, other long, at int, seed long, around binary"
-
-
-def _compare(edges: bool):
-    """Compares the neighbours of a sorted partition; with `edges`, also passes on what its ends have to meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        t = pa.Table.from_batches(found).combine_chunks()
-        doc, at, seed = (t.column(c).to_numpy() for c in ("doc", "at", "seed"))
-        around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, _WIDTH)
-        rows, start, end, other = _matches(doc, at, seed, around)
-        nothing = lambda n, kind: pa.nulls(n, kind)
-        names = ["doc", "start", "end", "other", "at", "seed", "around"]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other), nothing(len(rows), pa.int32()), nothing(len(rows), pa.int64()), nothing(len(rows), pa.binary())], names)
-        if edges:
-            ends = set()
-            for group, own in ((np.flatnonzero(seed == seed[0]), 0), (np.flatnonzero(seed == seed[-1]), len(seed) - 1)):
-                # rows of one document alone have met nothing yet; of more, one row is enough for the other side
-                ends |= set(group.tolist()) if (doc[group] == doc[own]).all() else {own}
-            part = t.take(pa.array(sorted(ends), pa.int64())).combine_chunks()
-            column = lambda c: part.column(c).combine_chunks()
-            yield pa.RecordBatch.from_arrays([column("doc"), nothing(len(part), pa.int32()), nothing(len(part), pa.int32()), nothing(len(part), pa.int64()), column("at"), column("seed"), column("around")], names)
-
-    return run
+    """(row, start, end, other document) of the rows, sorted by seed, with MIN_WORDS words that another document's row has too."""
+    starts = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
+    several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+    parts = []
+    for part in _chunks(seed, np.flatnonzero(np.repeat(several, np.diff(np.append(starts, len(seed)))))):
+        most, least, other = np.full(len(part), -1), np.full(len(part), REACH + 1), np.full(len(part), np.iinfo(np.int64).max)
+        d = doc[part]
+        for i, rows, key in _splits(seed[part], around[part]):
+            if not len(rows):
+                continue
+            group, _, one, two = _least_two(key, d[rows])
+            hit = one[group] != two[group]
+            rows, group = rows[hit], group[hit]
+            most[rows] = i
+            least[rows] = np.minimum(least[rows], i)
+            other[rows] = np.minimum(other[rows], np.where(d[rows] == one[group], two[group], one[group]))
+        hit = np.flatnonzero(most >= 0)
+        parts.append((part[hit], at[part[hit]] - most[hit], at[part[hit]] + MIN_WORDS - least[hit], other[hit]))
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
+
+
+_FOUND = "doc long, start int, end int, other long, key long"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of a sorted partition (no key); of its first and last seed, which other partitions may have, stretches that
+    one document alone has here (key), and the two least documents of every stretch (key, no start)."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return
+    t = pa.Table.from_batches(found).combine_chunks()
+    doc, at, seed = (t.column(c).to_numpy() for c in ("doc", "at", "seed"))
+    around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, _WIDTH)
+    names = ["doc", "start", "end", "other", "key"]
+    nothing = lambda n, kind: pa.nulls(n, kind)
+    rows, start, end, other = _matches(doc, at, seed, around)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other), nothing(len(rows), pa.int64())], names)
+    edge = np.flatnonzero((seed == seed[0]) | (seed == seed[-1]))
+    for i, rows, key in _splits(seed[edge], around[edge]):
+        if not len(rows):
+            continue
+        d, begin = doc[edge][rows], (at[edge][rows] - i).astype(np.int32)
+        group, keys, one, two = _least_two(key, d)
+        more = one != two
+        alone = ~more[group]
+        d, begin, key = d[alone], begin[alone], key[alone]
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(begin), pa.array(begin + np.int32(MIN_WORDS)), nothing(len(d), pa.int64()), pa.array(key.view(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((one, two[more]))), *(nothing(len(one) + int(more.sum()), k) for k in (pa.int32(), pa.int32(), pa.int64())), pa.array(np.concatenate((keys, keys[more])).view(np.int64))], names)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,9 +195,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     order = ["seed", "around", "doc", "at"]
     suffixes = rows.mapInArrow(_suffixes, _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = staged(suffixes.mapInArrow(_compare(True), _FOUND), "suffix-matches")
-    ends = found.where("at IS NOT NULL").select("doc", "at", "seed", "around").repartition(1).sortWithinPartitions(*order)
-    matches = found.where("at IS NULL").union(ends.mapInArrow(_compare(False), _FOUND)).select("doc", "start", "end", "other")
+    found = staged(suffixes.mapInArrow(_compare, _FOUND), "suffix-matches")
+    both = found.where("key IS NOT NULL AND start IS NULL").groupBy("key").agg(F.array_sort(F.collect_set("doc")).alias("docs"))  # two a partition at most
+    both = both.where(F.size("docs") > 1).select("key", F.col("docs")[0].alias("one"), F.col("docs")[1].alias("two"))
+    edges = found.where("key IS NOT NULL AND start IS NOT NULL").select("doc", "start", "end", "key").join(both, "key")
+    edges = edges.select("doc", "start", "end", F.when(F.col("doc") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"))
+    matches = found.where("key IS NULL").select("doc", "start", "end", "other").union(edges)
 
     by_start = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
