@@ -44,6 +44,17 @@ def test_planted(spark):
     assert "national_id" not in [s.kind for s in find_spans("part 078-05-1120 of the order")[0]]
 
 
+def test_ibans_before_capitals_and_numbers():
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    ibans = lambda text: [text[s.start : s.end] for s in find_spans(text)[0] if s.kind == "iban"]
+    for after in ("", " BIC MIDLGB22", " I paid", " 100 EUR", " BIC COBADEFFXXX", " here", ".", " AND THEN SOME MORE CAPITAL WORDS FOLLOW IT"):
+        assert [ibans(f"to {x}{after}") for x in (gb, de, no)] == [[gb], [de], [no]]
+    assert ibans(f"{gb} {gb} {de} {no}") == [gb, gb, de, no]
+    assert ibans(f"XX12 3456 7890 1234 {gb}") == [gb] and ibans(f"{gb}x") == [] and ibans(f"A{de}") == []
+    assert ibans("GB83 WEST 1234 5698 7654 32 BIC") == []
+    assert ibans("AB12 " * 60_000 + de) == [de] and ibans("A1" * 150_000) == []
+
+
 def test_long_runs_are_quick():
     assert base_spans("7" * 300_000) == {k: [] for k in KINDS}
     assert base_spans("a" * 300_000 + "@")["email"] == []

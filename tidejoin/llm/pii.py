@@ -36,10 +36,22 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 # Patterns of the kinds that the method adds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN_GROUP = re.compile(r" ?[A-Z0-9]++(?![a-z])")
 _LOCAL = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
+# Letters and digits of an IBAN, by country code.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 # Words that speak for or against a kind.
 CONTEXT = {
     "email": ({"mail", "email", "e-mail", "contact", "write", "correo"}, {"example", "noreply"}),
@@ -81,6 +93,24 @@ def _score(kind: str, text: str, start: int, end: int, of: str | None = None) ->
     return min(1.0, max(0.0, PRIOR[of or kind] + 0.35 * bool(near & good) - 0.3 * bool(near & bad)))
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Spans that pass mod-97: of the length that the country fixes or else the longest, for unknown countries the longest that does."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        at, end, bare, ends = m.start(), m.start(), "", []
+        while (g := _IBAN_GROUP.match(text, end)) and len(bare) < 34:
+            end, bare = g.end(), bare + g[0].lstrip(" ")
+            if 15 <= len(bare) <= 34:
+                ends.append((end, bare))
+        fixed = IBAN_LENGTHS.get(text[at : at + 2])
+        ends = [e for e in ends if len(e[1]) == fixed] + (ends[-1:] if fixed else ends[::-1])
+        found = next((e for e, bare in ends if mod97(bare)), None)
+        if found:
+            out.append((at, found))
+        m = _IBAN.search(text, found or at + 4)
+    return out
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """As the pattern's finditer, but started at each @, so that long runs of its characters cost no retries."""
     out, floor, at = [], 0, text.find("@")
@@ -118,10 +148,7 @@ def find_spans(text: str) -> tuple[list[Span], dict[str, list[tuple[int, int]]]]
     base = base_spans(text)
     spans = [Span(k, a, b, _score(k, text, a, b)) for k in KINDS for a, b in base[k]]
     if _DIGIT.search(text) is not None:
-        for m in _IBAN.finditer(text):
-            bare = m[0].replace(" ", "")
-            if 15 <= len(bare) <= 34 and mod97(bare):
-                spans.append(Span("iban", *m.span(), _score("iban", text, *m.span())))
+        spans += [Span("iban", a, b, _score("iban", text, a, b)) for a, b in _ibans(text)]
         taken = sorted((a, b) for _, a, b, _ in spans)
         begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
 
