@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages over documents; each works on all that the stage before it kept.
 
-Every stage but the last returns the columns of documents. Rows are told apart by doc_id: what befalls
-one of several rows with the same id befalls all of them. Rows without an id are judged like others,
-but are never near-duplicates.
+Every stage but the last returns the columns of documents. Quality and decontamination judge rows by id
+and text; near-duplicates go by doc_id, where what befalls one of several rows with the same id befalls
+all. Rows without an id are judged like others, but are never near-duplicates; line_dedup takes rows with
+the same id, or without one, for one document.
 """
 
 from __future__ import annotations
@@ -27,9 +28,15 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
+def without_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text (by its hash, mark) are in rejected."""
+    gone = rejected.select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__mark"]), "left_anti")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the isolation forest rejects go."""
-    return without(docs, quality_verdicts(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+    return without_rows(docs, quality_verdicts(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return without_rows(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,14 @@ def test_stages_take_odd_rows_and_none(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, folder).collect()
         assert stage(spark, odd.limit(0), folder).count() == 0
+
+
+def test_a_rejected_row_takes_no_other_row_of_its_id_along(spark, folder):
+    prose = [" ".join(f"w{(k * 131 + i * 17 + i * i) % 4001}" for i in range(90)) for k in (2, 4, 6)]
+    leak = prose[2] + " " + " ".join(f"bench{i}" for i in range(14))
+    for key in (None, 7):
+        kept = {prose[0], prose[1]}
+        short = spark.createDataFrame([(key, t, "en", "s", 9) for t in [*kept, "too short", None, ""]], COLUMNS).coalesce(1)
+        assert {r.text for r in corpus_pipeline.quality_rules(spark, short, folder).collect()} == kept
+        leaked = spark.createDataFrame([(key, t, "en", "s", 9) for t in [*kept, leak]], COLUMNS)
+        assert {r.text for r in corpus_pipeline.decontaminate(spark, leaked, folder).collect()} == kept
