@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.cases import docs, empty_docs, lowered, odd_docs, words
 from tidejoin.llm import attention as A
@@ -91,6 +92,19 @@ def test_every_learning_token_is_trained_on(spark, monkeypatch):
     assert (w["start"] != A.first_weights()["start"])[t.start].any(1).all()
 
 
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_BYTES", 500)
+    texts = [f"some words of a text numbered {i}" for i in range(300)]
+    df = docs(spark, texts[:200]).union(spark.createDataFrame([(None, t, *[None] * 7) for t in texts[200:]], docs(spark, []).schema))
+    rows = df.selectExpr("doc_id AS id", "text", "true AS learned")
+    found, learning = A.in_blocks(rows)
+    sizes = [r.n for r in found.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert learning == 300 and sum(sizes) == sum(map(len, texts)) and max(sizes) < 1500
+    scores = {r.doc_id: r for r in A.language_scores(df, "true").collect()}
+    expected = base([(i, t) for i, t in enumerate(texts)], [True] * 300)
+    assert all(abs(scores[i].base_score - expected[i][3]) < 1e-6 for i in range(200))
+
+
 def test_odd_and_empty_tables(spark):
     assert A.language_scores(empty_docs(spark), "true").count() == 0
     found = A.language_scores(odd_docs(spark), "doc_id <> 6").collect()

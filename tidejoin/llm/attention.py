@@ -14,11 +14,12 @@ driver. Training reads every token of every learning document once, next to the
 consecutive windows belong to one of ROUNDS rounds, by a hash of id and text; in a round a task trains a
 model on each TASK_WINDOWS windows, all from the same start, and the weights, of fixed size, are averaged
 by an aggregation. Nothing but weights is shuffled; how the input is split decides which windows share a
-model, so scores (not counts and base scores) vary a little with it. Scoring groups each block with its counts.
+model, so scores (not counts and base scores) vary a little with it. Scoring sorts each block's counts before
+its texts, so that a task holds one block's words and one batch of texts, however large the block is.
 
 Defined results: null and empty texts are one token, the end; words are as in the base measure; rows
-without an id belong to blocks of their own; repeated rows count and score alike; with nothing to learn
-from, every class is equally likely and every word new.
+without an id are one range of ids; repeated rows count and score alike; with nothing to learn from,
+every class is equally likely and every word new.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidejoin.llm.staging import staged
+from tidejoin.llm.staging import few, staged
 from tidejoin.llm.text import Words, mix64, slices
 
 CLASSES, STARTS, TAILS = 256, 1024, 512
@@ -40,9 +41,11 @@ CONTEXT, STRIDE = 32, 24
 #: Rounds of averaging, and windows from which one model is trained before it is averaged with others.
 ROUNDS, TASK_WINDOWS = 2, 20_000
 #: Windows of a training step, and steps of a task in a round at least.
-BATCH, LEAST_STEPS = 32, 100
-#: Documents of a block: ids of the same multiple.
-BLOCK = 4_000
+BATCH, LEAST_STEPS = 64, 100
+#: Documents of a block: ids of the same multiple, and bytes of text from which they are more than one block.
+BLOCK, BLOCK_BYTES = 4_000, 32_000_000
+#: Ranges of ids of more than one block (a few numbers each) up to which their table is broadcast.
+BROADCAST_ROWS = 1_000_000
 _SHAPES = {
     "start": (STARTS + 1, WIDTH), "tail": (TAILS + 1, WIDTH), "place": (CONTEXT, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
     "w1": (WIDTH, INNER), "b1": (INNER,), "w2": (INNER, WIDTH), "u": (WIDTH, CLASSES + 1), "c": (CLASSES + 1,),
@@ -87,7 +90,7 @@ _scratch: dict[tuple, np.ndarray] = {}
 
 
 def _logits(w: Weights, z: np.ndarray) -> np.ndarray:
-    """Logits of rows of hidden states, less the greatest of each row, in memory that the next call uses again."""
+    """Logits of rows of hidden states, in memory that the next call uses again; less the greatest of each row, unless their bound shows that none is large."""
     kind = len(z), z.dtype
     if kind not in _scratch:
         if len(_scratch) > 8:
@@ -95,7 +98,9 @@ def _logits(w: Weights, z: np.ndarray) -> np.ndarray:
         _scratch[kind] = np.empty((len(z), CLASSES + 1), z.dtype)
     out = np.matmul(z, w["u"], out=_scratch[kind])
     out += w["c"]
-    out -= out.max(-1, keepdims=True)
+    bound = np.sqrt((z * z).sum(-1).max(initial=0) * (w["u"] * w["u"]).sum(0).max()) + np.abs(w["c"]).max()
+    if not bound < 60:
+        out -= out.max(-1, keepdims=True)
     return out
 
 
@@ -123,10 +128,10 @@ def gradients(w: Weights, start: np.ndarray, tail: np.ndarray, target: np.ndarra
     rows = np.flatnonzero(real)
     picked = target.ravel()[rows]
     loss = -float(np.log(p[rows, picked] / sums[rows] + 1e-30).sum()) / n
-    p *= (real / (sums * np.float32(n)))[:, None]
-    p[rows, picked] -= np.float32(1 / n)
-    g: Weights = {"u": two(f["z"]).T @ p, "c": np.ones(len(p), p.dtype) @ p}
-    dz = (p @ w["u"].T).reshape(f["z"].shape)
+    p[rows, picked] -= sums[rows]
+    scale = (real / (sums * np.float32(n))).astype(p.dtype)  # on the narrow side of each product
+    g: Weights = {"u": (two(f["z"]) * scale[:, None]).T @ p, "c": scale @ p}
+    dz = ((p @ w["u"].T) * scale[:, None]).reshape(f["z"].shape)
     dh = (dz @ w["w2"].T) * (f["h"] > 0)
     g["w2"], g["w1"], g["b1"] = two(f["h"]).T @ two(dz), two(f["y"]).T @ two(dh), two(dh).sum(0)
     dy = dz + dh @ w["w1"].T
@@ -319,35 +324,71 @@ def score_block(texts: pa.Array, words: np.ndarray, times: np.ndarray, w: Weight
     return {"n_tokens": length, "n_known": per_text((c > 0).astype(np.int64)), "base_score": per_text(base), "score": per_text((model + in_class) / np.log(10))}
 
 
+def in_blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (id, text, learned) with a column block, and how many are learned from.
+
+    A block is a range of BLOCK ids; ranges with more than BLOCK_BYTES of text are dealt by a hash of id
+    and text over as many blocks as they need.
+    """
+    range_of = F.coalesce(F.floor(F.col("id") / BLOCK).cast("long"), F.lit(-1).cast("long"))
+    rows = rows.withColumn("range", range_of)
+    sizes = rows.groupBy("range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("learned").cast("long")).alias("learning"))
+    sizes = staged(sizes, "block-sizes")
+    learning = sizes.agg(F.sum("learning")).first()[0] or 0
+    parts = sizes.select("range", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts")).where("parts > 1")
+    met = rows.join(few(parts, BROADCAST_ROWS), "range", "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", "text"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    return met.select("id", "text", "learned", F.xxhash64("range", part).alias("block")), int(learning)
+
+
+def _scored(shared):
+    """Scores of texts that come sorted by block, each block's known words (no text) before its texts."""
+    names = ["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, counts = shared.value
+        block, held, known, times = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            of, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (is_text[1:] != is_text[:-1]), [True])))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if of[low] != block:
+                    block, held, known, times = of[low], [], known[:0], times[:0]
+                if not is_text[low]:
+                    held.append([batch.column(k).slice(low, high - low).to_numpy(zero_copy_only=False) for k in (4, 5)])
+                    continue
+                if held:
+                    known, at = np.unique(np.concatenate([h[0] for h in held]).astype(np.int64).view(np.uint64), return_index=True)
+                    times, held = np.concatenate([h[1] for h in held]).astype(np.int64)[at], []
+                texts = batch.column(3).slice(low, high - low)
+                for a, b in slices(texts):
+                    found = score_block(texts.slice(a, b - a), known, times, weights, counts)
+                    own = batch.slice(low + a, b - a)
+                    yield pa.RecordBatch.from_arrays([own.column(2), own.column(6), *(pa.array(found[k]) for k in names[2:4]), pa.array(np.full(b - a, counts.total)), *(pa.array(found[k]) for k in names[5:])], names)
+
+    return run
+
+
 def language_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     learn: SQL condition on docs for the rows to learn from. The id has to be an integer.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    block = F.coalesce(F.floor(F.col(id_col) / BLOCK).cast("long"), -1 - F.pmod(F.xxhash64(text), F.lit(1_000)))
-    rows = docs.select(block.alias("block"), F.coalesce(F.expr(learn), F.lit(False)).alias("learned"), text.alias("text"), F.col(id_col).cast("long").alias("id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learned"))
+    rows, ends = in_blocks(rows)
 
     found = staged(rows.select("block", "learned", "text").mapInArrow(_block_words, "block long, word long, class int, n long"), "block-words")
     counted = staged(found.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.max("class").alias("class")), "word-counts")
     tokens, kinds = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
     for r in counted.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("kinds")).collect():  # a row a class
         tokens[r["class"]], kinds[r["class"]] = r["c"], r["kinds"]
-    ends = rows.where("learned").count()
     tokens[CLASSES], kinds[CLASSES] = ends, int(ends > 0)
     w = fit_attention(rows.where("learned"), tokens)
     shared = docs.sparkSession.sparkContext.broadcast((w, Counts(tokens, kinds)))  # fixed size
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        weights, counts = shared.value
-        known = right.column("word").to_numpy().view(np.uint64)
-        known, at = np.unique(known, return_index=True)
-        times = right.column("c").to_numpy()[at]
-        texts = left.column("text").combine_chunks()
-        parts = [score_block(texts.slice(a, b - a), known, times, weights, counts) for a, b in slices(texts)]
-        column = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.float64 if "score" in k else np.int64) for k in ("n_tokens", "n_known", "base_score", "score")}
-        return pa.table({"id": left.column("id"), "learned": left.column("learned"), "n_tokens": column["n_tokens"], "n_known": column["n_known"], "train_tokens": np.full(left.num_rows, counts.total), "base_score": column["base_score"], "score": column["score"]})
-
-    needed = found.select("block", "word").distinct().join(counted.select("word", "c"), "word")
-    out = rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, "id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    needed = found.select("block", "word").join(counted.select("word", "c"), "word")
+    needed = needed.select("block", F.lit(False).alias("is_text"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "word", "c", F.lit(None).cast("boolean").alias("learned"))
+    texts = rows.select("block", F.lit(True), "id", "text", F.lit(None).cast("long"), F.lit(None).cast("long"), "learned")
+    out = needed.union(texts).repartition("block").sortWithinPartitions("block", "is_text")
+    out = out.mapInArrow(_scored(shared), "id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
