@@ -3,6 +3,7 @@ import random
 import re
 
 from tests.llm.cases import docs, empty_docs, lowered, odd_docs
+from tidejoin.llm import decontaminate as D
 from tidejoin.llm.decontaminate import contamination
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -43,6 +44,24 @@ def test_matches_brute_force(spark):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(t, items), t
 
 
+def test_words_that_repeat_and_shared_windows(spark):
+    items = [(i, " ".join(["a b c"] * 30)) for i in range(20)] + [(30, " ".join(f"q{i}" for i in range(200))), (31, "z " * 40)]
+    texts = ["x y " + "a b c " * 50 + "tail", "a " * 60, "z " * 100, " ".join(f"q{i}" for i in range(50, 170)), " ".join(f"q{i} -" for i in range(9))]
+    found = contamination(docs(spark, texts), bench(spark, items)).orderBy("doc_id").collect()
+    for r, t in zip(found, texts, strict=True):
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(t, items), t
+
+
+def test_long_texts_and_tables_beyond_the_broadcast(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 1)
+    items = [(i, " ".join(f"k{rng.randrange(3000)}" for _ in range(30))) for i in range(20)]
+    texts = [" ".join(f"k{rng.randrange(3000)}" for _ in range(40_000)) + " " + items[3][1] + " " + items[4][1][:60], "short", None]
+    found = contamination(docs(spark, texts), bench(spark, items)).orderBy("doc_id").collect()
+    for r, t in zip(found, texts, strict=True):
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(t, items)
+
+
 def test_odd_and_empty_tables(spark):
     items = [(1, "the same short text of a few words"), (2, None), (None, "no id here"), (4, "")]
     rows = odd_docs(spark)
