@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -55,6 +56,36 @@ def test_ibans_before_capitals_and_numbers():
     assert ibans("AB12 " * 60_000 + de) == [de] and ibans("A1" * 150_000) == []
 
 
+def test_secrets():
+    found = lambda text: [text[s.start : s.end] for s in find_spans(text)[0] if s.kind == "secret"]
+    key, value = "AKIA" + "IOSFODNN7ABCDEFG", "b7db7aa4a5fcc78305"
+    assert found(f"use {key} here") == [key] and found(f"x{key}") == [] and found(key + "x") == []
+    for name in ("password", "Token", "api_key", "SECRET"):
+        assert found(f"the {name}={value} was") == [value] and found(f'{name} : "{value}".') == [value]
+    assert found("password=hopefully we meet") == [] and found("token = 12345678") == [] and found("nothing = " + value) == []
+    assert found("-----BEGIN RSA PRIVATE KEY-----") == ["-----BEGIN RSA PRIVATE KEY-----"]
+    assert found("mail token=joe1@example.org now") == []  # the e-mail address is there already
+
+
+def test_ibans_against_every_substring():
+    rng = random.Random(4)
+    for _ in range(300):
+        digits = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(digits + "131400") % 97  # D is 13, E is 14
+        iban = f"DE{check:02d}{digits}"
+        shown = " ".join(iban[i : i + 4] for i in range(0, 22, 4)) if rng.random() < 0.5 else iban
+        text = f"{rng.choice(['to', 'A1', 'X 77'])} {shown} {rng.choice(['BIC', '12 EUR', 'and', ''])}"
+        bare = lambda t: t.replace(" ", "")
+        every = {(a, b) for a in range(len(text)) for b in range(a + 15, len(text) + 1) if text[a : a + 2] == "DE" and len(bare(text[a:b])) == 22 and text[b - 1] != " " and mod97(bare(text[a:b]))}
+        assert {(s.start, s.end) for s in find_spans(text)[0] if s.kind == "iban"} == every and every
+
+
+def test_words_nearby_move_scores():
+    of = lambda text: [(s.kind, round(s.score, 2)) for s in find_spans(text)[0]]
+    assert of("call +15550109999 now") == [("phone", 1.0)] and of("serial +15550109999 now") == [("phone", 0.4)] and of("see +15550109999 now") == [("phone", 0.7)]
+    assert of("card 4111111111111111")[0] == ("card", 1.0) and of("order 4111111111111111")[0] == ("card", 0.5)
+
+
 def test_long_runs_are_quick():
     assert base_spans("7" * 300_000) == {k: [] for k in KINDS}
     assert base_spans("a" * 300_000 + "@")["email"] == []

@@ -35,8 +35,8 @@ LEAF = 2_048
 SPREAD = 65_536
 #: Least tokens that a window must share with either side.
 AGREE = 3
-#: Units kept by a Python worker between slices.
-KEEP = 400_000
+#: Characters of the units that a Python worker keeps between slices (each takes some 250 bytes besides).
+KEEP = 1_000_000
 
 _ODD_SPACE = re.compile(r"\s ")  # a space after white space is not a safe cut
 
@@ -52,6 +52,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.size = 0
 
     def plain(self, texts: list[str]) -> list[Ids]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -73,8 +74,10 @@ class Codec:
     def fill(self, units: set[str]) -> None:
         """Keeps ids, number and decoded bytes of the units that are not kept yet."""
         new = [u for u in units if u not in self.kept]
-        if len(self.kept) + len(new) > KEEP:
+        if self.size > KEEP:
             self.kept = {u: self.kept[u] for u in units if u in self.kept}
+            self.size = sum(map(len, self.kept))
+        self.size += sum(map(len, new))
         short = [u for u in new if len(u) <= LEAF]
         for u, ids in zip(short, self.plain(short), strict=True):
             self.kept[u] = self.entry(ids)
@@ -204,12 +207,12 @@ def bpe_round_trip(docs: DataFrame, path: str, out: str = "digests", id_col: str
     schema = T.StructType([id_field, *T._parse_datatype_string(added).fields])
     names = schema.fieldNames()
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    unsplit = F.col("text").rlike(f"[^ ]{{{SPREAD}}}")
+    unsplit = F.col("text").rlike(f"[^ ]{{{SPREAD}}}| {{{SPREAD}}}")  # a run of spaces, too, has no place to cut
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for low, high in slices(batch.column(1), 4_000_000):
+            for low, high in slices(batch.column(1)):
                 found = [shape(*x) for x in encode_texts(batch.column(1).slice(low, high - low).to_pylist(), c)]
                 columns = [pa.array(list(v), t) for v, t in zip(zip(*found, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], names)

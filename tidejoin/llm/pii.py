@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm, nearby words adjust the score.
 
 One Arrow pass over whole texts, no shuffle. Base kinds (email, ip, card, phone) follow fixed
-patterns. The method adds spans of its own: IBANs that pass mod-97, and local phone numbers, national
-ids and keys that words nearby speak for. A base span is never withdrawn: its score says how sure it is.
+patterns. The method adds spans of its own: IBANs that pass mod-97, keys of known formats, values that are
+assigned to a name such as password or token, and local phone numbers and national ids that words nearby
+speak for. A base span is never withdrawn: its score says how sure it is.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; ids may be null.
 """
@@ -41,6 +42,13 @@ _IBAN_GROUP = re.compile(r" ?[A-Z0-9]++(?![a-z])")
 _LOCAL = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
+# Fixed formats of access keys: cloud key ids, tokens of code hosts and chat services, signed web tokens, private keys.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
+)
+_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private)[ _-]?key|contraseña|passwort|kennwort)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"',;<>]{8,200})", re.IGNORECASE)
+
 # Letters and digits of an IBAN, by country code.
 IBAN_LENGTHS = {
     code: n
@@ -59,9 +67,10 @@ CONTEXT = {
     "card": ({"card", "visa", "credit", "payment", "tarjeta", "carte", "karte"}, {"order", "tracking", "isbn", "serial"}),
     "phone": ({"phone", "call", "tel", "mobile", "fax", "contact", "telefon", "teléfono"}, {"serial", "part", "isbn"}),
     "iban": ({"iban", "account", "bank", "konto", "cuenta", "compte"}, {"serial", "code"}),
+    "secret": ({"password", "passwd", "pwd", "secret", "token", "key", "login", "credential", "credentials", "auth"}, {"example", "sample", "placeholder", "dummy"}),
     "national_id": ({"ssn", "social", "security", "passport", "id"}, {"part", "serial", "order"}),
 }
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.3, "local_phone": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.3, "local_phone": 0.2, "secret": 0.8, "assigned": 0.3}
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -143,11 +152,21 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _secrets(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, prior) of keys of known formats, and of assigned values that mix letters with digits or other marks."""
+    out = [(*m.span(), "secret") for m in _KEY.finditer(text)]
+    for m in _ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
+        value = m[1].rstrip(".)")
+        if len(value) >= 8 and not value.isalpha() and not value.isdigit():
+            out.append((m.start(1), m.start(1) + len(value), "assigned"))
+    return out
+
+
 def find_spans(text: str) -> tuple[list[Span], dict[str, list[tuple[int, int]]]]:
     """All scored spans by kind and start, and the base spans among them."""
     base = base_spans(text)
     spans = [Span(k, a, b, _score(k, text, a, b)) for k in KINDS for a, b in base[k]]
-    if _DIGIT.search(text) is not None:
+    if _DIGIT.search(text) is not None or "PRIVATE KEY" in text:
         spans += [Span("iban", a, b, _score("iban", text, a, b)) for a, b in _ibans(text)]
         taken = sorted((a, b) for _, a, b, _ in spans)
         begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
@@ -156,12 +175,18 @@ def find_spans(text: str) -> tuple[list[Span], dict[str, list[tuple[int, int]]]]
             i = bisect_left(begins, b)
             return i == 0 or reach[i - 1] <= a
 
+        for a, b, prior in _secrets(text):
+            score = _score("secret", text, a, b, prior)
+            if score >= LEAST and free(a, b):
+                spans.append(Span("secret", a, b, score))
+                taken = sorted([*taken, (a, b)])
+                begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for kind, pattern, words, prior in (("national_id", _NATIONAL, "national_id", "national_id"), ("phone", _LOCAL, "phone", "local_phone")):
             for m in pattern.finditer(text):
                 score = _score(words, text, *m.span(), prior)
                 if score >= LEAST and free(*m.span()):
                     spans.append(Span(kind, *m.span(), score))
-    order = {k: i for i, k in enumerate((*KINDS, "iban", "national_id"))}
+    order = {k: i for i, k in enumerate((*KINDS, "iban", "national_id", "secret"))}
     return sorted(spans, key=lambda s: (order[s.kind], s.start)), base
 
 

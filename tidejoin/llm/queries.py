@@ -55,7 +55,7 @@ def op7_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.transform("scores", lambda x: F.round(x, 2)).alias("scores"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

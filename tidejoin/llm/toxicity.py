@@ -19,7 +19,7 @@ get the same score; ids may be null; with labels of one kind alone all scores ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -178,14 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(*tables)
 
     held = rows.where("calibrate").withColumn("row", F.struct(id_col, "label"))
-    scanned = map_texts(held, _SCANNED, _scan(model), "row", "text").select("row.label", "n", "best").toPandas()
+    counts = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, about 10 MB
+
+    def scan(shape: tuple[float, float]):
+        return lambda texts: _scan(replace(counts.value, shape=shape))(texts)
+
+    scanned = map_texts(held, _SCANNED, scan(model.shape), "row", "text").select("row.label", "n", "best").toPandas()
     if scanned["label"].nunique() < 2:
         share = float(scanned["label"].mean()) if len(scanned) else 0.0
         model.curve = (float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0)
         return model
     clean = scanned[(scanned["label"] == 0) & (scanned["n"] > 0)]
     model.shape = fit_extremes(clean["best"].to_numpy(), clean["n"].to_numpy())
-    again = map_texts(held, _SCANNED, _scan(model), "row", "text").select("row.label", "n", "best", "joint").toPandas()
+    again = map_texts(held, _SCANNED, scan(model.shape), "row", "text").select("row.label", "n", "best", "joint").toPandas()
     x = _inputs(model.evidence(again["best"].to_numpy(), again["n"].to_numpy()), again["joint"].to_numpy())
     model.curve = fit_curve(x, again["label"].to_numpy().astype(float))
     return model
