@@ -42,6 +42,41 @@ def test_samples(spark):
     assert power.aligned(two, "channel", "t", "v", ["c", "d"]).count() == 2
 
 
+def test_blocks_and_slots_change_nothing(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.choice([0, 1, 5, 9]) for _ in range(200)]
+    s = samples(spark, values)
+    slot = F.floor(F.col("t") / 13)
+    monkeypatch.setattr(power, "BLOCK", 17)
+    found = {r.t: r["mean"] for r in power.moving_average(s, "channel", ["t"], "v", 6, slot).collect()}
+    assert found == {i: pytest.approx(sum(values[max(0, i - 5) : i + 1]) / min(i + 1, 6)) for i in range(200)}
+    assert sorted(r.t for r in power.decimate(s, "channel", ["t"], 7, slot).collect()) == list(range(6, 200, 7))
+    state, runs = 0, []
+    for i, v in enumerate(values, 1):
+        was, state = state, 1 if v >= 8 else 0 if v < 2 else state
+        if state and not was:
+            runs.append([i, i])
+        elif state:
+            runs[-1][1] = i
+    expected = [(b - a + 1, max(1, a - 2), b) for a, b in runs if b - a + 1 >= 2]
+    got = power.triggered(s, "channel", ["t"], "v", on=8, off=2, least=2, before=2, slot=slot).orderBy("run").collect()
+    assert [(r.n, r["first"], r["last"]) for r in got] == expected
+
+
+def test_report(spark, tmp_path):
+    one = linear_stream(spark, 640, 32)
+    r, s = generated_pair(one, one)
+    found = stats.run_stats(r, s, join_pairs(r, s, JoinSpec(w_r=10, w_s=10)), 32)
+    rows = stats.report(found, F.lit(20 * 10**9), F.lit(10 * 10**9), F.lit(3))
+    for _ in range(2):
+        stats.write_report(rows, f"file://{tmp_path}/report")
+    back = spark.read.csv(f"file://{tmp_path}/report", header=True, inferSchema=True)
+    assert back.columns == ["out", "throughput", "latency_ms", "in", "runtime_ns", "idle_ns", "proc_ns", "switches"] and back.count() == 2
+    assert tuple(stats.processing_rates(rows).select("proc_ns", "switches", "in_per_s").first()) == (10 * 10**9, 3, 128.0)
+
+
 def test_run_statistics(spark):
     one = linear_stream(spark, 640, 32)
     r, s = generated_pair(one, one)

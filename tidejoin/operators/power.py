@@ -29,33 +29,67 @@ def channel_ranges(samples: DataFrame, channel: str, value: Column) -> DataFrame
     return samples.groupBy(channel).agg(F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
 
 
-def moving_average(samples: DataFrame, channel: str, order: list[str], value: str, width: int) -> DataFrame:
+#: Samples of a channel that one task goes through together.
+BLOCK = 100_000
+
+
+def numbered(samples: DataFrame, channel: str, order: list[str], slot: Column | None = None) -> DataFrame:
+    """Adds number: of the sample in its channel, from 1.
+
+    slot: something that never falls along the order, a day for instance; samples are sorted a slot at a
+    time, and each slot begins where those before it end. Without it a channel is sorted in one task.
+    """
+    rows = samples.withColumn("__slot", F.lit(0) if slot is None else slot)
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy(channel, "__slot").orderBy(*order)))
+    before = Window.partitionBy("__c").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
+    sizes = rows.groupBy(F.col(channel).alias("__c"), F.col("__slot").alias("__s")).agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__c", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    met = rows.join(sizes, F.col(channel).eqNullSafe(F.col("__c")) & F.col("__slot").eqNullSafe(F.col("__s")))
+    return met.withColumn("number", F.col("number") + F.col("__before")).drop("__slot", "__c", "__s", "__before")
+
+
+def moving_average(samples: DataFrame, channel: str, order: list[str], value: str, width: int, slot: Column | None = None) -> DataFrame:
     """Adds mean: of the last `width` samples of the channel, or of as many as there are."""
     if width < 1:
         raise ValueError("a width of 1 or more")
-    last = Window.partitionBy(channel).orderBy(*order).rowsBetween(1 - width, 0)
-    return samples.withColumn("mean", F.avg(value).over(last))
+    size = max(BLOCK, width)
+    block, place = F.floor((F.col("number") - 1) / size), (F.col("number") - 1) % size
+    # the samples at a block's end are needed in the next one, too
+    rows = numbered(samples, channel, order, slot).withColumn("__own", block)
+    rows = rows.withColumn("__block", F.explode(F.when(place > size - width, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+    last = Window.partitionBy(channel, "__block").orderBy("number").rowsBetween(1 - width, 0)
+    return rows.withColumn("mean", F.avg(value).over(last)).where("__own = __block").drop("number", "__own", "__block")
 
 
-def decimate(samples: DataFrame, channel: str, order: list[str], every: int) -> DataFrame:
+def decimate(samples: DataFrame, channel: str, order: list[str], every: int, slot: Column | None = None) -> DataFrame:
     """Each `every`-th sample of a channel, the first kept being number `every`."""
-    number = F.row_number().over(Window.partitionBy(channel).orderBy(*order))
-    return samples.withColumn("__n", number).where(F.col("__n") % every == 0).drop("__n")
+    return numbered(samples, channel, order, slot).where(F.col("number") % every == 0).drop("number")
 
 
-def triggered(samples: DataFrame, channel: str, order: list[str], value: str, on: float, off: float, least: int = 1, before: int = 0) -> DataFrame:
+def triggered(samples: DataFrame, channel: str, order: list[str], value: str, on: float, off: float, least: int = 1, before: int = 0, slot: Column | None = None) -> DataFrame:
     """Runs of samples that a trigger with hysteresis passes: (channel, run, n, first, last) by sample number.
 
     A run begins at a value of `on` or more and lasts until one below `off`; shorter ones than `least`
-    samples are noise. `before` samples ahead of a run come along, as far as there are any.
+    samples are noise. `before` samples ahead of a run come along, as far as there are any. Blocks of
+    samples are gone through apart: each begins in the last state, and with the number of runs, before it.
     """
-    by = Window.partitionBy(channel).orderBy(*order)
     state = F.when(F.col(value) >= on, 1).when(F.col(value) < off, 0)
-    rows = samples.select(channel, F.row_number().over(by).alias("number"), F.coalesce(F.last(state, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("state"))
-    by = Window.partitionBy(channel).orderBy("number")
-    rows = rows.withColumn("run", F.sum((F.col("state") != F.lag("state", 1, 0).over(by)).cast("int")).over(by)).where("state = 1")
-    runs = rows.groupBy(channel, "run").agg(F.count("*").alias("n"), F.min("number").alias("first"), F.max("number").alias("last")).where(F.col("n") >= least)
-    return runs.select(channel, F.row_number().over(Window.partitionBy(channel).orderBy("first")).alias("run"), "n", F.greatest(F.lit(1), F.col("first") - before).cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    rows = numbered(samples, channel, order, slot).select(F.col(channel).alias("c"), "number", F.floor((F.col("number") - 1) / BLOCK).alias("block"), state.alias("state"))
+    earlier = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    inside = Window.partitionBy("c", "block").orderBy("number")
+
+    def with_block(rows: DataFrame, blocks: DataFrame, name: str, sofar: Column) -> DataFrame:
+        blocks = blocks.select(F.col("c").alias("__c"), F.col("block").alias("__b"), F.coalesce(sofar, F.lit(0)).alias(name))
+        return rows.join(blocks, F.col("c").eqNullSafe(F.col("__c")) & (F.col("block") == F.col("__b"))).drop("__c", "__b")
+
+    ends = rows.groupBy("c", "block").agg(F.max_by("state", F.when(F.col("state").isNotNull(), F.col("number"))).alias("end"))
+    rows = with_block(rows, ends, "entry", F.last("end", ignorenulls=True).over(earlier))
+    rows = rows.withColumn("state", F.coalesce(F.last("state", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "entry"))
+    rows = rows.withColumn("turn", (F.col("state") != F.coalesce(F.lag("state").over(inside), "entry")).cast("long"))
+    rows = with_block(rows, rows.groupBy("c", "block").agg(F.sum("turn").alias("turns")), "turns", F.sum("turns").over(earlier))
+    rows = rows.withColumn("run", F.col("turns") + F.sum("turn").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("state = 1")
+    runs = rows.groupBy("c", "run").agg(F.count("*").alias("n"), F.min("number").alias("first"), F.max("number").alias("last")).where(F.col("n") >= least)
+    return runs.select(F.col("c").alias(channel), F.row_number().over(Window.partitionBy("c").orderBy("first")).alias("run"), "n", F.greatest(F.lit(1), F.col("first") - before).cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
 def corrected(samples: DataFrame, value: str, points: list[tuple[float, float]], scale: float = 1.0, offset: float = 0.0) -> DataFrame:

@@ -41,13 +41,34 @@ def expired(rows: DataFrame, time: str, seconds: int, progress: Column | int) ->
 
 def expired_counts(r: DataFrame, s: DataFrame, w_r: int, w_s: int) -> DataFrame:
     """One row: how many rows of each stream have expired at the other one's last row."""
-    r_end, s_end = r.agg(F.max("r_t")).first()[0], s.agg(F.max("s_t")).first()[0]
+    ends = r.agg(F.max("r_t").alias("r_end")).crossJoin(s.agg(F.max("s_t").alias("s_end")))  # one row
     count = lambda rows, side: rows.select(F.lit(int(side == "r")).alias("l"), F.lit(int(side == "s")).alias("r"))
-    left = count(expired(r, "r_t", w_r, F.lit(s_end)), "r")
-    right = count(expired(s, "s_t", w_s, F.lit(r_end)), "s")
+    left = count(expired(r.join(F.broadcast(ends)), "r_t", w_r, F.col("s_end")), "r")
+    right = count(expired(s.join(F.broadcast(ends)), "s_t", w_s, F.col("r_end")), "s")
     return left.union(right).agg(F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("r_expired"), F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("s_expired"))
 
 
+#: Columns of the statistics report, in its order.
+REPORT = ["out", "throughput", "latency_ms", "in", "runtime_ns", "idle_ns", "proc_ns", "switches"]
+
+
+def report(stats: DataFrame, runtime_ns: Column, idle_ns: Column, switches: Column) -> DataFrame:
+    """The eight columns of a run's report, from run_stats and what was measured besides; processing is what was not idle."""
+    values = [F.col("out_count"), F.col("throughput"), F.col("latency_ms"), F.col("in_count"), runtime_ns, idle_ns, runtime_ns - idle_ns, switches]
+    return stats.select(*(v.alias(name) for v, name in zip(values, REPORT, strict=True)))
+
+
+def processing_rates(report: DataFrame) -> DataFrame:
+    """Adds rows in a second of processing, and MB/s of them at 16 bytes a row: rates without idle time."""
+    rate = F.try_divide(F.col("in").cast("double"), F.col("proc_ns") / 1e9)
+    return report.withColumns({"in_per_s": rate, "proc_mb_per_s": rate * F.lit(TUPLE_BYTES / 1e6)})
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Adds the rows to a folder of CSV files with a header."""
+    report.select(*REPORT).write.mode("append").csv(path, header=True)
+
+
 def bucket_occupancy(keys: DataFrame, key: str, buckets: int, seed: int = 1) -> DataFrame:
     """(bucket, n): rows in each bucket in use."""
     return keys.where(F.col(key).isNotNull()).groupBy(bucket(F.col(key), buckets, seed).alias("bucket")).agg(F.count("*").alias("n"))

@@ -69,12 +69,33 @@ def _run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.run_stats(r, s, join_pairs(r, s, JOINS["window_key_join"]), rate_r=RATE)
 
 
+def _run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run that took as long as its stream and idled where seconds have no row of either stream."""
+    r, s = _pair(spark, sf_dir)
+    seconds = r.select(F.floor(F.col("r_t") / 1_000_000_000).alias("at")).union(s.select(F.floor(F.col("s_t") / 1_000_000_000)))
+    busy = seconds.agg(F.countDistinct("at").alias("busy"), (F.max("at") - F.min("at") + 1).alias("whole"))
+    found = stats.run_stats(r, s, join_pairs(r, s, JOINS["window_key_join"]), rate_r=RATE).crossJoin(busy)  # one row each
+    nanos = F.lit(1_000_000_000).cast("long")
+    return stats.processing_rates(stats.report(found, F.col("whole") * nanos, (F.col("whole") - F.col("busy")) * nanos, F.lit(0).cast("long")))
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = power.numbered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], F.to_date("ts"))
+    return power.aligned(rows, "channel", "number", "value", ["view", "click"])
+
+
+def _table_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of the join's table for windows of 1 to 600 seconds at rates of 32 to 131,072 rows a second."""
+    grid = [(w, rate, stats.table_buckets(w, rate)) for w in (1, 10, 60, 600) for rate in (32, 1024, 131_072)]
+    return spark.createDataFrame(grid, "window_s int, rate int, buckets long")
+
+
 def _power_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return power.without_last(_samples(spark, sf_dir), "channel", ["ts", "event_id"]).select("channel", "event_id")
 
 
 def _moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = power.moving_average(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 5)
+    rows = power.moving_average(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 5, F.to_date("ts"))
     return rows.select("event_id", F.round("mean", 6).alias("mean"))
 
 
@@ -100,6 +121,9 @@ QUERIES: dict[str, Query] = {
     "gen_hash_keys": lambda spark, sf_dir: streams.hashed_stream(spark, ROWS, RATE, 1000, 1000),
     "replay_offset": lambda spark, sf_dir: streams.replayed(streams.linear_stream(spark, ROWS, RATE), CAP, RATE, ROWS),
     "run_stats": _run_stats,
+    "run_report": _run_report,
+    "power_aligned": _aligned,
+    "table_sizing": _table_sizing,
     "output_histogram": lambda spark, sf_dir: stats.output_histogram(join_pairs(*_pair(spark, sf_dir), JOINS["window_key_join"]), HOUR),
     "expired_tuples": lambda spark, sf_dir: stats.expired_counts(*_pair(spark, sf_dir), HOUR, 24 * HOUR),
     "bucket_occupancy": lambda spark, sf_dir: stats.bucket_occupancy(_events(spark, sf_dir), "user_id", BUCKETS),
@@ -109,8 +133,8 @@ QUERIES: dict[str, Query] = {
     "power_trim": _power_trim,
     "power_minmaxavg": lambda spark, sf_dir: power.channel_ranges(_samples(spark, sf_dir), "channel", F.col("value")).withColumn("mean", F.round("mean", 6)),
     "moving_avg": _moving_avg,
-    "decimate": lambda spark, sf_dir: power.decimate(_samples(spark, sf_dir), "channel", ["ts", "event_id"], 5).select("channel", "event_id"),
-    "power_trigger": lambda spark, sf_dir: power.triggered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 60.0, 20.0, least=2, before=3),
+    "decimate": lambda spark, sf_dir: power.decimate(_samples(spark, sf_dir), "channel", ["ts", "event_id"], 5, F.to_date("ts")).select("channel", "event_id"),
+    "power_trigger": lambda spark, sf_dir: power.triggered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 60.0, 20.0, least=2, before=3, slot=F.to_date("ts")),
     "power_corrected": lambda spark, sf_dir: power.corrected(_samples(spark, sf_dir), "value", [(0.0, 0.0), (50.0, 40.0), (100.0, 120.0)], 0.5, 1.0).select("event_id", F.round("corrected", 6).alias("corrected")),
     "energy_report": _energy,
 }
@@ -141,21 +165,39 @@ _LINEAR_PAIR = f"r AS (SELECT id AS r, t_ns AS t, x, y FROM ({_LINEAR_ROWS})), s
 _PAIRS = f"{_R}, {_S}, p AS (SELECT r.t AS rt, s.t AS st FROM r JOIN s ON x = a AND s.t < r.t + 3600000000000::BIGINT AND r.t < s.t + 3600000000000::BIGINT)"
 _NUMBERED = "n AS (SELECT event_type AS channel, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS number FROM events)"
 _M = 4294967296
-_MURMUR = f"""k1 AS (SELECT ((user_id & 4294967295)::HUGEINT * 3432918353 % {_M})::BIGINT AS k FROM events WHERE user_id IS NOT NULL),
- k2 AS (SELECT (((k * 32768::HUGEINT) % {_M} + k // 131072) * 461845907 % {_M})::BIGINT AS k FROM k1),
- h1 AS (SELECT xor(k, 1::BIGINT) AS h FROM k2),
- h2 AS (SELECT ((((h * 8192::HUGEINT) % {_M} + h // 524288) * 5 + 3864292196) % {_M})::BIGINT AS h FROM h1),
- h3 AS (SELECT xor(h, 4::BIGINT) AS h FROM h2), h4 AS (SELECT (xor(h, h // 65536)::HUGEINT * 2246822507 % {_M})::BIGINT AS h FROM h3),
- h5 AS (SELECT (xor(h, h // 8192)::HUGEINT * 3266489909 % {_M})::BIGINT AS h FROM h4), h6 AS (SELECT xor(h, h // 65536) AS h FROM h5)"""
+
+
+def _murmur_sql(source: str, key: str, seed: int, tag: str = "") -> str:
+    """Steps whose last one, h6 with the tag, has the hashes h of a key, by row i."""
+    t = tag
+    return f"""k1{t} AS (SELECT i, (({key} & 4294967295)::HUGEINT * 3432918353 % {_M})::BIGINT AS k FROM {source}),
+ k2{t} AS (SELECT i, (((k * 32768::HUGEINT) % {_M} + k // 131072) * 461845907 % {_M})::BIGINT AS k FROM k1{t}),
+ h1{t} AS (SELECT i, xor(k, {seed}::BIGINT) AS h FROM k2{t}),
+ h2{t} AS (SELECT i, ((((h * 8192::HUGEINT) % {_M} + h // 524288) * 5 + 3864292196) % {_M})::BIGINT AS h FROM h1{t}),
+ h3{t} AS (SELECT i, xor(h, 4::BIGINT) AS h FROM h2{t}), h4{t} AS (SELECT i, (xor(h, h // 65536)::HUGEINT * 2246822507 % {_M})::BIGINT AS h FROM h3{t}),
+ h5{t} AS (SELECT i, (xor(h, h // 8192)::HUGEINT * 3266489909 % {_M})::BIGINT AS h FROM h4{t}), h6{t} AS (SELECT i, xor(h, h // 65536) AS h FROM h5{t})"""
+
+
+_MURMUR = _murmur_sql("(SELECT event_id AS i, user_id FROM events WHERE user_id IS NOT NULL)", "user_id", 1)
 
 ORACLE_SQL: dict[str, str] = {
     **{name: _join_sql(spec) for name, spec in JOINS.items()},
     **{f"{name}_stream": _join_sql(spec) for name, spec in JOINS.items() if spec.window is not Window.NONE},
     **{name: _join_sql(JoinSpec(p, LINEAR_WINDOW, LINEAR_WINDOW), _LINEAR_PAIR) for name, p in LINEAR.items()},
     "gen_linear": _LINEAR_ROWS,
+    "gen_hash_keys": f"""WITH {_murmur_sql(f"range({ROWS}) q(i)", "i", 1, "x")}, {_murmur_sql(f"range({ROWS}) q(i)", "i", 2, "y")}
+SELECT h6x.i AS id, (h6x.i + 1) * {1_000_000_000 // RATE} AS t_ns, (h6x.h % 1000)::INTEGER AS x, (h6y.h % 1000)::FLOAT AS y FROM h6x JOIN h6y USING (i)""",
     "replay_offset": f"SELECT i AS id, i // {CAP} AS iteration, i % {CAP} AS source_id, (i % {CAP} + 1 + i // {CAP} * {CAP}) * {1_000_000_000 // RATE} AS t_ns, (i % {CAP} // 2 + 1)::INTEGER AS x, ((i % {CAP} + 1) // 2)::FLOAT AS y FROM range({ROWS}) q(i)",
     "run_stats": f"""WITH {_PAIRS}, o AS (SELECT count(*) AS n, sum(abs(rt - st))::DOUBLE AS lag FROM p), c AS (SELECT (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM s) AS ns)
 SELECT n AS out_count, nr + ns AS in_count, n::DOUBLE / (nr / {RATE}.0::DOUBLE) AS throughput, (nr + ns) * 0.000016::DOUBLE / (nr / {RATE}.0::DOUBLE) AS mb_per_s, round(lag / n / 1e6, 3) AS latency_ms FROM o, c""",
+    "run_report": f"""WITH {_PAIRS}, o AS (SELECT count(*) AS n, sum(abs(rt - st))::DOUBLE AS lag FROM p), c AS (SELECT (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM s) AS ns),
+ b AS (SELECT count(DISTINCT sec) AS busy, max(sec) - min(sec) + 1 AS whole FROM (SELECT t // 1000000000 AS sec FROM r UNION ALL SELECT t // 1000000000 FROM s))
+SELECT n AS out, n::DOUBLE / (nr / {RATE}.0::DOUBLE) AS throughput, round(lag / n / 1e6, 3) AS latency_ms, nr + ns AS "in", whole * 1000000000 AS runtime_ns, (whole - busy) * 1000000000 AS idle_ns, busy * 1000000000 AS proc_ns, 0::BIGINT AS switches,
+ (nr + ns)::DOUBLE / busy AS in_per_s, (nr + ns)::DOUBLE / busy * 0.000016::DOUBLE AS proc_mb_per_s FROM o, c, b""",
+    "power_aligned": f"WITH {_NUMBERED} SELECT a.number, a.value AS view, b.value AS click FROM n a JOIN n b ON a.number = b.number AND a.channel = 'view' AND b.channel = 'click'",
+    "table_sizing": """WITH g AS (SELECT w, r, w * r / 64.0 AS chunks FROM (SELECT unnest([1, 10, 60, 600]) AS w), (SELECT unnest([32, 1024, 131072]) AS r)),
+ s AS (SELECT *, (2 ** greatest(0, ceil(log2(greatest(1.0, chunks)))))::BIGINT AS size FROM g)
+SELECT w AS window_s, r AS rate, CASE WHEN size < chunks / 0.2 THEN size * 2 ELSE size END AS buckets FROM s""",
     "output_histogram": f"WITH {_PAIRS}, h AS (SELECT greatest(rt, st) // 3600000000000 AS slot, count(*) AS n FROM p GROUP BY 1), e AS (SELECT unnest(range(min(slot), max(slot) + 1)) AS slot FROM h) SELECT e.slot, coalesce(h.n, 0) AS n FROM e LEFT JOIN h USING (slot)",
     "expired_tuples": f"WITH {_R}, {_S} SELECT (SELECT count(*) FROM r WHERE t + 3600000000000::BIGINT <= (SELECT max(t) FROM s)) AS r_expired, (SELECT count(*) FROM s WHERE t + 86400000000000::BIGINT <= (SELECT max(t) FROM r)) AS s_expired",
     "bucket_occupancy": f"WITH {_MURMUR} SELECT h & {BUCKETS - 1} AS bucket, count(*) AS n FROM h6 GROUP BY 1",

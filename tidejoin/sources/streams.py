@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidejoin.functions.murmur import murmur3
+
 NANOS = 1_000_000_000
 
 
@@ -39,9 +41,9 @@ def linear_stream(spark: SparkSession, n: int, rate: int) -> DataFrame:
 
 
 def hashed_stream(spark: SparkSession, n: int, rate: int, int_range: int, float_range: int, seed: int = 0) -> DataFrame:
-    """(id, t_ns, x, y): keys in [0, range) spread by a hash of id and seed, the same on every run."""
-    pick = lambda salt, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(size))
-    return _timed(spark, n, rate).select("id", "t_ns", pick("x", int_range).cast("int").alias("x"), pick("y", float_range).cast("float").alias("y"))
+    """(id, t_ns, x, y): keys in [0, range) by Murmur hashes of the id with two seeds, the same on every run."""
+    pick = lambda own, size: murmur3(F.col("id"), own) % size
+    return _timed(spark, n, rate).select("id", "t_ns", pick(2 * seed + 1, int_range).cast("int").alias("x"), pick(2 * seed + 2, float_range).cast("float").alias("y"))
 
 
 def random_stream(spark: SparkSession, n: int, rate: int, int_range: int, float_range: int, seed: int = 0) -> DataFrame:
