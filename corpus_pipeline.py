@@ -1,9 +1,9 @@
 """A corpus pipeline of five stages over documents; each works on all that the stage before it kept.
 
 Every stage but the last returns the columns of documents. Quality and decontamination judge rows by id
-and text; near-duplicates go by doc_id, where what befalls one of several rows with the same id befalls
-all. Rows without an id are judged like others, but are never near-duplicates; line_dedup takes rows with
-the same id, or without one, for one document.
+and text, line_dedup takes rows with the same id and text for one document. Near-duplicates (five words to
+a shingle, similarity 0.8) go by doc_id, where what befalls one of several rows with the same id befalls
+all; rows without an id are never near-duplicates of others and stay.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tidejoin.llm.lines import dedup_lines
 from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.quality import quality_verdicts
 from tidejoin.llm.queries import byte_bpe_path, table
-from tidejoin.llm.staging import staged
+from tidejoin.llm.staging import scratch, staged
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen before, or an edit away from one seen before, go; documents left without a word go."""
+    """Lines seen before, or within two edits (one for five characters) of one seen before, go; documents left without a word go."""
     return dedup_lines(docs)
 
 
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet before the next."""
+    """All stages over documents, each written as Parquet before the next; what a stage has staged on its way is removed after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = staged(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,20 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read again: computed once, its lineage cut,
-    and still there when an executor is lost."""
+    and still there when an executor is lost. keep: also when a scratch() around it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Removes, at its end, the folders that staged() wrote inside; what is to stay has to be staged outside."""
+    """Removes, at its end, the folders that staged() wrote inside, without those to keep."""
     _scopes.append([])
     try:
         yield
