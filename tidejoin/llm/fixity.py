@@ -11,8 +11,8 @@ are written once to the shared folder, level by level; a descent joins one level
 nodes that differed above.
 
 Defined results: null bodies and addresses are empty; records without a file or offset belong to file
--1 or offset 0; records that repeat at one place are hashed together, in the order of their digests;
-two empty replicas agree.
+-1 or offset 0; pages without an id lie in files below 0, by their content; records that repeat at one
+place are one leaf, whatever their order; two empty replicas agree.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from tidejoin.llm.staging import staged
 RANGE, FANOUT = 64 * 1024, 32
 #: Levels of offset ranges; the last ones are 64 GB wide, so a file has one of them, or a few.
 IN_FILE = 5
-#: Records of a file.
-PER_FILE = 1_000
+#: Records of a file, and files (below 0) over which pages without an id are dealt by their content.
+PER_FILE, LOOSE_FILES = 1_000, 65_536
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -39,16 +39,19 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def warc_manifest(pages: DataFrame, body: str = "html") -> DataFrame:
-    """(file, offset, length, page_id, digest, spoilt): where each page's record lies in the archive of pages in order.
+def warc_manifest(pages: DataFrame, body: str = "html", spoilt: Column | None = None) -> DataFrame:
+    """(file, offset, length, page_id, digest): where each page's record lies in the archive of pages in order, and the hash of its bytes.
 
-    spoilt is the digest of the record with its first character overwritten.
+    spoilt: for which pages the record's first character is overwritten, as in a damaged replica.
     """
-    rows = pages.select(F.col("page_id"), F.col("url"), F.col(body).alias("body"))
-    rows = rows.withColumn("record", warc_record(F.col("page_id"), F.col("url"), F.col("body")))
-    rows = rows.select(F.coalesce(F.floor(F.col("page_id") / PER_FILE), F.lit(-1)).cast("long").alias("file"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), F.sha2(F.overlay("record", F.lit("#"), F.lit(1)), 256).alias("spoilt"))
-    place = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(place), F.lit(0)).cast("long"))
+    rows = pages.select(F.col("page_id"), F.col("url"), F.col(body).alias("body"), (F.lit(False) if spoilt is None else F.coalesce(spoilt, F.lit(False))).alias("spoilt"))
+    record = warc_record(F.col("page_id"), F.col("url"), F.col("body"))
+    rows = rows.withColumn("record", F.when(F.col("spoilt"), F.overlay(record, F.lit("#"), F.lit(1))).otherwise(record))
+    content = F.xxhash64("url", "body")  # as it was meant, so that damage moves no record
+    none = F.lit(-1) - F.pmod(content, F.lit(LOOSE_FILES))
+    rows = rows.select(content.alias("content"), F.coalesce(F.floor(F.col("page_id") / PER_FILE), none).cast("long").alias("file"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    place = Window.partitionBy("file").orderBy("page_id", "content").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(place), F.lit(0)).cast("long")).drop("content")
 
 
 def _node(children: Column) -> Column:
@@ -71,7 +74,10 @@ def merkle_tree(records: DataFrame, levels: int) -> DataFrame:
     """(level, file, idx, hash) from (file, offset, length, digest), with that many levels of file ranges."""
     leaf = F.concat_ws(":", F.coalesce("length", F.lit(0)).cast("string"), F.coalesce("digest", F.lit("")))
     rows = records.select("file", F.coalesce("offset", F.lit(0)).cast("long").alias("idx"), leaf.alias("leaf"))
-    level = rows.groupBy("file", "idx").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("leaf")), ","), 256).alias("hash"))
+    # records that repeat at one place are added up, for there may be any number of them
+    mark = F.xxhash64("leaf")
+    parts = [F.count("*"), F.min("leaf"), F.max("leaf"), F.bit_xor(mark), F.sum(mark.cast("decimal(20,0)"))]
+    level = rows.groupBy("file", "idx").agg(F.sha2(F.concat_ws(",", *(p.cast("string") for p in parts)), 256).alias("hash"))
     level = staged(level.select(F.lit(0).alias("level"), "file", "idx", "hash"), "merkle-leaves")
     trees = [level]
     for number in range(1, IN_FILE + levels + 1):
@@ -120,9 +126,9 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     A record is spoilt (its first character overwritten) if the MD5 of its page's id begins with 00,
     and lost if with 01.
     """
-    manifest = staged(warc_manifest(pages), "manifest")
     fate = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
-    replica = manifest.where(fate != "01").withColumn("digest", F.when(fate == "00", F.col("spoilt")).otherwise(F.col("digest")))
+    manifest = staged(warc_manifest(pages), "manifest")
+    replica = staged(warc_manifest(pages, spoilt=fate == "00").where(fate != "01"), "replica")  # hashed from its own bytes
     found = audit(manifest, replica)
     return found.join(manifest.select("file", "offset", "page_id", "length"), ["file", "offset"], "left").select("page_id", "file", "offset", "length", "kind")
 
