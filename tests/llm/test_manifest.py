@@ -1,0 +1,103 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.cases import DOCS, LONG, docs, empty_docs, odd_docs
+from tidejoin.llm import manifest as M
+
+KEY = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return H(*("-" if row[c] is None else f"{len(str(row[c]).encode())}:{row[c]}" for c in M.VALUES))
+
+
+def tree(nodes):
+    """The root, and for each node what stands before and behind it on each level."""
+    beside, at, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+    while len(level) > 1:
+        runs = [level[i : i + 8] for i in range(0, len(level), 8)]
+        for i in range(len(nodes)):
+            run, place = divmod(at[i], 8)
+            beside[i].append((runs[run][:place], runs[run][place + 1 :]))
+            at[i] = run
+        level = [H(*run) for run in runs]
+    return level[0], beside
+
+
+def brute(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["lang"], []).append(r)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf(r)))
+    trees = {g: tree([leaf(r) for r in groups[g]]) for g in names}
+    out = []
+    if names:
+        root, upper = tree([trees[g][0] for g in names])
+    for g, above in zip(names, upper if names else [], strict=True):
+        for r, below in zip(groups[g], trees[g][1], strict=True):
+            x = leaf(r)
+            if r["doc_id"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 0:
+                x = leaf(r | {"text": r["text"].translate({c: c + 32 for c in range(65, 91)})})
+            for before, behind in below + above:
+                x = H(*before, x, *behind)
+            proof = H(*(h for before, behind in below + above for h in before + behind))
+            out.append((r["doc_id"], leaf(r), trees[g][0], root, proof, x, x == root))
+    return sorted(out, key=KEY)
+
+
+def found(df):
+    assert df.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "steps"]
+    return sorted((tuple(r)[:7] for r in df.collect()), key=KEY)
+
+
+def table(spark, langs, seed=0):
+    """A document for each language given, ids in no order, some of them repeated."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(10 * len(langs)), f"Text {i} é" if i % 5 else None, lang, None if i % 7 == 0 else f"s{i % 3}", i or None, None, None, None, None) for i, lang in enumerate(langs)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 64, 65, 600])
+def test_sizes_match_brute_force(spark, n):
+    """One language with all rows but three, one with two, and one with a lone leaf."""
+    t = table(spark, (["en"] * n + ["de", "de", None])[: n + 3 if n > 1 else 1], n).repartition(3)
+    assert found(M.document_manifest(t)) == brute([r.asDict() for r in t.collect()])
+
+
+def test_many_groups(spark):
+    rng = random.Random(2)
+    t = table(spark, [rng.choice(["é", "z", "漢", "", "Z", "-", "+", None, *(f"l{k}" for k in range(90))]) for _ in range(300)])
+    assert found(M.document_manifest(t)) == brute([r.asDict() for r in t.collect()])
+
+
+def test_places_do_not_depend_on_partitions(spark):
+    t = table(spark, ["en"] * 500, 3)
+    first = found(M.document_manifest(t.coalesce(1)))
+    assert found(M.document_manifest(t.repartition(9))) == first
+    dealt = M.placed(t.select("lang", "doc_id"), ["lang"], [F.col("doc_id").asc_nulls_first()])
+    assert sorted(r.pos for r in dealt.collect()) == list(range(500))
+
+
+def test_tampering_is_seen(spark):
+    t = docs(spark, ["Upper", "lower", "MORE", "é É", None, LONG.upper()])
+    rows = {r.doc_id: r for r in M.document_manifest(t).collect()}
+    third = {i for i in range(6) if zlib.crc32(str(i).encode()) % 3 == 0}
+    changed = {i for i in third if i in (0, 2, 5)}
+    assert third and {i for i, r in rows.items() if not r.verified} == changed
+    sound = M.manifest(t, M.VALUES)
+    assert sound.where("NOT verified").count() == 0 and {r.root for r in sound.collect()} == {rows[0].root}
+
+
+def test_odd_and_empty_tables(spark):
+    assert M.document_manifest(empty_docs(spark)).count() == 0
+    assert found(M.document_manifest(odd_docs(spark))) == brute([r.asDict() for r in odd_docs(spark).collect()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidejoin.llm.attention import language_scores
 from tidejoin.llm.bpe import bpe_round_trip
-from tidejoin.llm import decontaminate, fixity, lines, toxicity
+from tidejoin.llm import decontaminate, fixity, lines, manifest, negatives, pivots, toxicity
 from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.pii import personal_data
 from tidejoin.llm.quality import COUNTS, quality_verdicts
@@ -76,6 +76,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, sf_dir, "documents")).drop("steps")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -87,9 +101,15 @@ QUERIES: dict[str, Query] = {
     "op8_attention_scores": op8_attention_scores,
     "op9_decontaminate": op9_decontaminate,
     "op10_personal_data": op10_personal_data,
+    "op11_pivot_topk": op11_pivot_topk,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
     "op4_warc_fixity": fixity.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_pivot_topk": pivots.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
