@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,18 @@ def test_long_runs_are_quick():
     assert base_spans("a" * 300_000 + "@")["email"] == []
 
 
+def test_very_many_spans():
+    keys = [f"AKIA{i:015d}X" for i in range(100_000)]
+    text = "\n".join(keys)
+    began = time.process_time()
+    found = find_spans(text)[0]
+    assert time.process_time() - began < 60
+    assert [text[s.start : s.end] for s in found if s.kind == "secret"] == keys
+    text = " ".join(f"token=ab{i}cdefg key AKIA{i:016d} ssn 078-05-{1000 + i % 9000}" for i in range(300))
+    spans = sorted((s.start, s.end) for s in find_spans(text)[0])
+    assert len(spans) == 900 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_rows(spark):
     found = personal_data(odd_docs(spark))
     assert found.count() == odd_docs(spark).count() and personal_data(empty_docs(spark)).count() == 0

@@ -152,14 +152,21 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _secrets(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, prior) of keys of known formats, and of assigned values that mix letters with digits or other marks."""
-    out = [(*m.span(), "secret") for m in _KEY.finditer(text)]
+def _clear_of(taken: list[Span], found: list[Span]) -> list[Span]:
+    """Those of the spans found that overlap none of the spans taken."""
+    bounds = sorted((s.start, s.end) for s in taken)
+    begins, reach = [a for a, _ in bounds], list(accumulate((b for _, b in bounds), max))
+    return [s for s in found if not (i := bisect_left(begins, s.end)) or reach[i - 1] <= s.start]
+
+
+def _secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(start, end, prior) of keys of known formats; and of assigned values that mix letters with digits or other marks."""
+    keys, out = [(*m.span(), "secret") for m in _KEY.finditer(text)], []
     for m in _ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
         value = m[1].rstrip(".)")
         if len(value) >= 8 and not value.isalpha() and not value.isdigit():
             out.append((m.start(1), m.start(1) + len(value), "assigned"))
-    return out
+    return keys, out
 
 
 def find_spans(text: str) -> tuple[list[Span], dict[str, list[tuple[int, int]]]]:
@@ -168,24 +175,12 @@ def find_spans(text: str) -> tuple[list[Span], dict[str, list[tuple[int, int]]]]
     spans = [Span(k, a, b, _score(k, text, a, b)) for k in KINDS for a, b in base[k]]
     if _DIGIT.search(text) is not None or "PRIVATE KEY" in text:
         spans += [Span("iban", a, b, _score("iban", text, a, b)) for a, b in _ibans(text)]
-        taken = sorted((a, b) for _, a, b, _ in spans)
-        begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
-
-        def free(a: int, b: int) -> bool:
-            i = bisect_left(begins, b)
-            return i == 0 or reach[i - 1] <= a
-
-        for a, b, prior in _secrets(text):
-            score = _score("secret", text, a, b, prior)
-            if score >= LEAST and free(a, b):
-                spans.append(Span("secret", a, b, score))
-                taken = sorted([*taken, (a, b)])
-                begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        # spans of one pattern do not overlap, so each has to keep clear of what stands from the patterns before alone
+        proposed = [[("secret", *x[:2], _score("secret", text, *x)) for x in found] for found in _secrets(text)]
         for kind, pattern, words, prior in (("national_id", _NATIONAL, "national_id", "national_id"), ("phone", _LOCAL, "phone", "local_phone")):
-            for m in pattern.finditer(text):
-                score = _score(words, text, *m.span(), prior)
-                if score >= LEAST and free(*m.span()):
-                    spans.append(Span(kind, *m.span(), score))
+            proposed.append([(kind, *m.span(), _score(words, text, *m.span(), prior)) for m in pattern.finditer(text)])
+        for found in proposed:
+            spans += _clear_of(spans, [Span(*x) for x in found if x[3] >= LEAST])
     order = {k: i for i, k in enumerate((*KINDS, "iban", "national_id", "secret"))}
     return sorted(spans, key=lambda s: (order[s.kind], s.start)), base
 
