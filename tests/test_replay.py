@@ -1,0 +1,104 @@
+import random
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_joins import SECOND, brute, pair
+from tests.test_joins import rows as early_rows
+from tidejoin.plans.spec import JoinSpec, Predicate
+from tidejoin.sources import replay
+from tidejoin.streaming.join import paced_join, progress_table, stream_join
+
+
+def rows(rng, n):
+    """Rows later than 1970, where watermarks begin."""
+    return [(i, t + 1000 * SECOND, x, y) for i, t, x, y in early_rows(rng, n)]
+
+
+def schedule(r, s, r_rows, s_rows):
+    """(rows of R, rows of S) released after each tick: whichever batch is due first, S in a tie."""
+    times = {"r": sorted(t for _, t, *_ in r), "s": sorted(t for _, t, *_ in s)}
+    size, upto, out = {"r": r_rows, "s": s_rows}, {"r": 0, "s": 0}, []
+    while any(upto[x] < len(times[x]) for x in "rs"):
+        due = {x: times[x][min(upto[x] + size[x], len(times[x]) - 1)] for x in "rs" if upto[x] < len(times[x])}
+        side = "r" if "s" not in due or due.get("r", 2**63) < due["s"] else "s"
+        upto[side] = min(len(times[side]), upto[side] + size[side])
+        out.append((upto["r"], upto["s"]))
+    return out
+
+
+@pytest.mark.parametrize(("n_r", "n_s", "r_rows", "s_rows"), [(60, 50, 7, 4), (10, 80, 1, 64), (5, 0, 2, 3), (0, 0, 1, 1), (30, 30, 30, 10)])
+def test_schedule(spark, tmp_path, monkeypatch, n_r, n_s, r_rows, s_rows):
+    monkeypatch.setattr(replay, "FILE_ROWS", 9)
+    rng = random.Random(n_r)
+    r, s = rows(rng, n_r), rows(rng, n_s)
+    left, right = pair(spark, r, s)
+    path = replay.prepare(left, right, r_rows, s_rows, f"file://{tmp_path}/replay")
+    stored = spark.read.parquet(f"{path}/ticks/rows").orderBy("tick").collect() if n_r or n_s else []
+    assert [(x.r, x.s) for x in stored] == schedule(r, s, r_rows, s_rows)
+    reader = replay.PacedReader({"path": path, "side": "r", "ticks": "1"}, left.columns)
+    seen, at = [], reader.initialOffset()
+    while (after := reader.latestOffset()) != at:
+        seen += [x for p in reader.partitions(at, after) for b in reader.read(p) for x in b["r"].to_pylist()]
+        at = after
+    assert seen == [i for _, i in sorted((t, i) for i, t, *_ in r)]
+    again = replay.PacedReader({"path": path, "side": "r", "ticks": "2"}, left.columns)
+    one = {"tick": min(1, len(stored))}
+    again.partitions(one, one)  # as Spark does when a query starts from a checkpoint
+    assert again.latestOffset()["tick"] == min(len(stored), 3)
+    with pytest.raises(ValueError):
+        replay.prepare(left, right, 0, 1)
+
+
+def test_waits_for_the_clock(spark, tmp_path, monkeypatch):
+    r = [(i, i * SECOND, 1, 0.0) for i in range(10)]
+    left, right = pair(spark, r, r)
+    path = replay.prepare(left, right, 1, 10, f"file://{tmp_path}/replay")
+    clock = [100.0]
+    monkeypatch.setattr(replay.time, "time", lambda: clock[0])
+    reader = replay.PacedReader({"path": path, "side": "r", "ticks": "100", "speed": "2"}, left.columns)
+    found = []
+    for now in (100.0, 101.0, 101.5, 103.0, 103.5, 200.0):
+        clock[0] = now
+        after = reader.latestOffset()
+        reader.partitions({"tick": reader.done}, after)
+        found.append(reader._tick(after["tick"])["r"])
+    # row i is released when row i + 1 has come; two seconds of the stream pass in one
+    assert found == [1, 3, 4, 7, 8, 10]
+
+
+@pytest.mark.parametrize(("n", "r_rows", "s_rows", "ticks"), [(9, 1, 7, 1), (60, 7, 4096, 1), (60, 4096, 16, 2)])
+def test_batch_sizes_change_nothing(spark, n, r_rows, s_rows, ticks):
+    rng = random.Random(r_rows)
+    r, s = rows(rng, n), rows(rng, n)
+    for predicate in (Predicate.KEY, Predicate.BAND):
+        spec = JoinSpec(predicate, 5, 9, strict=False)
+        found, query = paced_join(*pair(spark, r, s), spec, r_rows, s_rows, ticks, "1 second")
+        assert sorted(tuple(p) for p in found.collect()) == brute(r, s, spec)
+        if ticks == 1 and predicate is Predicate.KEY:
+            sizes = [p["rows_in"] for p in progress_table(query) if p["rows_in"]]
+            steps = [(0, 0), *schedule(r, s, r_rows, s_rows)]
+            assert sizes == [b[0] + b[1] - a[0] - a[1] for a, b in zip(steps, steps[1:], strict=False)]
+
+
+def test_goes_on_from_a_checkpoint(spark, tmp_path):
+    rng = random.Random(6)
+    r, s = rows(rng, 40), rows(rng, 40)
+    spec = JoinSpec(Predicate.KEY, 9, 9)
+    left, right = pair(spark, r, s)
+    path = replay.prepare(left, right, 10, 13, f"file://{tmp_path}/replay")
+
+    def start():
+        joined = stream_join(replay.paced_stream(spark, left, path, "r"), replay.paced_stream(spark, right, path, "s"), spec, "1 second")
+        return joined.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state")
+
+    first = start().trigger(processingTime="2 seconds").start()
+    while not [p for p in first.recentProgress if p["numInputRows"]]:
+        first.awaitTermination(0.2)
+    first.stop()
+    rest = start().start()
+    rest.processAllAvailable()
+    rest.stop()
+    assert all(p["batchId"] > 0 for p in rest.recentProgress)
+    assert sorted(tuple(p) for p in spark.read.parquet(f"file://{tmp_path}/out").collect()) == brute(r, s, spec)
