@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from tidejoin.operators import power, stats
 from tidejoin.operators.join import join_pairs, window_join
+from tidejoin.operators.places import placed
+from tidejoin.operators.sessions import Trigger, sessions
 from tidejoin.plans.spec import JoinSpec, Predicate, Window
 from tidejoin.sources import streams
-from tidejoin.streaming.join import replay_join
+from tidejoin.streaming.join import paced_join, replay_join
+from tidejoin.streaming.running import paced_histogram, paced_state
+from tidejoin.streaming.sessions import replay_sessions
 
 HOUR = 3600
 JOINS = {
@@ -28,6 +32,11 @@ JOINS = {
 LINEAR = {"linear_key_join": Predicate.KEY, "linear_sum_join": Predicate.SUM_F32, "linear_band_join": Predicate.BAND}
 ROWS, RATE, LINEAR_WINDOW, CAP = 3840, 32, 10, 1000
 BUCKETS, FANOUT = 1024, 64
+#: Rows of R and S in a batch of a paced replay, and ticks in a micro-batch.
+R_ROWS, S_ROWS, TICKS = 1_000, 1_500, 4
+TRIGGER = Trigger(on=60.0, off=40.0, filter=1, hold=1, end_filter=2, before=3, silence=6 * HOUR)
+#: How late rows of a stream may come, in minutes.
+DELAY = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +73,19 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "ts", F.col("event_type").alias("channel"), "value")
 
 
+def _paced(spec: JoinSpec) -> Query:
+    return lambda spark, sf_dir: paced_join(*_pair(spark, sf_dir), spec, R_ROWS, S_ROWS, TICKS, f"{DELAY} minutes")[0]
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _samples(spark, sf_dir).select("channel", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    return placed(rows, ["channel"], [F.col("ts"), F.col("event_id")], "number").drop("event_id")
+
+
+def _sessions(found: DataFrame) -> DataFrame:
+    return found.select("channel", "trigger", "first", "last", "n", F.round("total", 4).alias("total"))
+
+
 def _run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, s = _pair(spark, sf_dir)
     return stats.run_stats(r, s, join_pairs(r, s, JOINS["window_key_join"]), rate_r=RATE)
@@ -137,6 +159,12 @@ QUERIES: dict[str, Query] = {
     "power_trigger": lambda spark, sf_dir: power.triggered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 60.0, 20.0, least=2, before=3, slot=F.to_date("ts")),
     "power_corrected": lambda spark, sf_dir: power.corrected(_samples(spark, sf_dir), "value", [(0.0, 0.0), (50.0, 40.0), (100.0, 120.0)], 0.5, 1.0).select("event_id", F.round("corrected", 6).alias("corrected")),
     "energy_report": _energy,
+    "window_key_join_paced": _paced(JOINS["window_key_join_asym"]),
+    "band_join_paced": _paced(JOINS["band_join"]),
+    "power_sessions": lambda spark, sf_dir: _sessions(sessions(_numbered(spark, sf_dir), TRIGGER)),
+    "power_sessions_stream": lambda spark, sf_dir: _sessions(replay_sessions(_numbered(spark, sf_dir), TRIGGER, delay=f"{DELAY} minutes")),
+    "output_histogram_stream": lambda spark, sf_dir: paced_histogram(*_pair(spark, sf_dir), JOINS["window_key_join"], HOUR, R_ROWS, S_ROWS, TICKS)[0],
+    "join_state": lambda spark, sf_dir: paced_state(*_pair(spark, sf_dir), JOINS["window_key_join_asym"], R_ROWS, S_ROWS, TICKS, f"{DELAY} minutes"),
 }
 
 _R = "r AS (SELECT event_id AS r, epoch_us(ts) * 1000 AS t, user_id AS x, value AS y FROM events WHERE event_type = 'view')"
@@ -167,6 +195,23 @@ _NUMBERED = "n AS (SELECT event_type AS channel, event_id, ts, value, row_number
 _M = 4294967296
 
 
+def _sessions_sql(t: Trigger, until: str) -> str:
+    """Sessions of the events' values, channel by channel; until: what has to hold of a session's last sample and the channel's last (m)."""
+    so_far = "OVER (PARTITION BY channel ORDER BY number ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH n AS (SELECT event_type AS channel, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS number FROM events),
+ a AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY channel ORDER BY number)) > {t.silence}000000, true) AS fresh FROM n),
+ b AS (SELECT *, max(CASE WHEN value IS NULL OR value < {t.on} THEN number WHEN fresh THEN number - 1 END) {so_far} AS not_on,
+   max(CASE WHEN value IS NULL OR value >= {t.off} THEN number WHEN fresh THEN number - 1 END) {so_far} AS not_off FROM a),
+ c AS (SELECT *, coalesce(last_value(CASE WHEN value >= {t.on} AND number - not_on > {t.filter} THEN 1 WHEN fresh OR (value < {t.off} AND number - not_off >= {t.end_filter}) THEN 0 END IGNORE NULLS) {so_far}, 0) AS state FROM b),
+ d AS (SELECT *, CASE WHEN fresh THEN 0 ELSE coalesce(lag(state) OVER (PARTITION BY channel ORDER BY number), 0) END AS was FROM c),
+ e AS (SELECT *, max(CASE WHEN state = 1 AND was = 0 THEN number END) {so_far} AS fired, max(CASE WHEN fresh OR (state = 0 AND was = 1) THEN number END) {so_far} AS begun, max(number) OVER (PARTITION BY channel) AS m FROM d),
+ f AS (SELECT channel, fired, max(number) AS l, max(ts) AS l_ts, count(*) FILTER (number - fired >= {t.hold}) AS n, coalesce(sum(value) FILTER (number - fired >= {t.hold}), 0) AS total, greatest(fired - {t.before}, max(begun)) AS f, max(m) AS m
+   FROM e WHERE state = 1 GROUP BY channel, fired),
+ p AS (SELECT f.channel, fired, count(*) AS n, sum(value) AS total FROM f JOIN n ON f.channel = n.channel AND n.number >= f.f AND n.number < fired GROUP BY 1, 2)
+SELECT f.channel, f.fired AS trigger, f.f AS first, f.l AS last, f.n + coalesce(p.n, 0) AS n, round(f.total + coalesce(p.total, 0), 4) AS total FROM f LEFT JOIN p ON f.channel = p.channel AND f.fired = p.fired WHERE {until}"""
+
+
+
 def _murmur_sql(source: str, key: str, seed: int, tag: str = "") -> str:
     """Steps whose last one, h6 with the tag, has the hashes h of a key, by row i."""
     t = tag
@@ -180,6 +225,8 @@ def _murmur_sql(source: str, key: str, seed: int, tag: str = "") -> str:
 
 _MURMUR = _murmur_sql("(SELECT event_id AS i, user_id FROM events WHERE user_id IS NOT NULL)", "user_id", 1)
 
+_HISTOGRAM_SQL = f"WITH {_PAIRS}, h AS (SELECT greatest(rt, st) // 3600000000000 AS slot, count(*) AS n FROM p GROUP BY 1), e AS (SELECT unnest(range(min(slot), max(slot) + 1)) AS slot FROM h) SELECT e.slot, coalesce(h.n, 0) AS n FROM e LEFT JOIN h USING (slot)"
+
 ORACLE_SQL: dict[str, str] = {
     **{name: _join_sql(spec) for name, spec in JOINS.items()},
     **{f"{name}_stream": _join_sql(spec) for name, spec in JOINS.items() if spec.window is not Window.NONE},
@@ -198,7 +245,7 @@ SELECT n AS out, n::DOUBLE / (nr / {RATE}.0::DOUBLE) AS throughput, round(lag /
     "table_sizing": """WITH g AS (SELECT w, r, w * r / 64.0 AS chunks FROM (SELECT unnest([1, 10, 60, 600]) AS w), (SELECT unnest([32, 1024, 131072]) AS r)),
  s AS (SELECT *, (2 ** greatest(0, ceil(log2(greatest(1.0, chunks)))))::BIGINT AS size FROM g)
 SELECT w AS window_s, r AS rate, CASE WHEN size < chunks / 0.2 THEN size * 2 ELSE size END AS buckets FROM s""",
-    "output_histogram": f"WITH {_PAIRS}, h AS (SELECT greatest(rt, st) // 3600000000000 AS slot, count(*) AS n FROM p GROUP BY 1), e AS (SELECT unnest(range(min(slot), max(slot) + 1)) AS slot FROM h) SELECT e.slot, coalesce(h.n, 0) AS n FROM e LEFT JOIN h USING (slot)",
+    "output_histogram": _HISTOGRAM_SQL,
     "expired_tuples": f"WITH {_R}, {_S} SELECT (SELECT count(*) FROM r WHERE t + 3600000000000::BIGINT <= (SELECT max(t) FROM s)) AS r_expired, (SELECT count(*) FROM s WHERE t + 86400000000000::BIGINT <= (SELECT max(t) FROM r)) AS s_expired",
     "bucket_occupancy": f"WITH {_MURMUR} SELECT h & {BUCKETS - 1} AS bucket, count(*) AS n FROM h6 GROUP BY 1",
     "radix_partition": f"SELECT part, n, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT user_id % {FANOUT} AS part, count(*) AS n FROM events GROUP BY 1)",
@@ -213,5 +260,13 @@ SELECT w AS window_s, r AS rate, CASE WHEN size < chunks / 0.2 THEN size * 2 ELS
  d AS (SELECT channel, count(*) AS n, min(number) AS f, max(number) AS l FROM c WHERE state = 1 GROUP BY channel, g HAVING count(*) >= 2)
 SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY f)::INTEGER AS run, n, greatest(1, f - 3) AS first, l AS last FROM d""",
     "power_corrected": "SELECT event_id, round(CASE WHEN v < 50 THEN v * 0.8 ELSE 40 + (v - 50) * 1.6 END, 6) AS corrected FROM (SELECT event_id, (value - 1) * 0.5 AS v FROM events)",
+    "window_key_join_paced": _join_sql(JOINS["window_key_join_asym"]),
+    "band_join_paced": _join_sql(JOINS["band_join"]),
+    "power_sessions": _sessions_sql(TRIGGER, "true"),
+    "power_sessions_stream": _sessions_sql(TRIGGER, f"f.l < f.m OR epoch_us(f.l_ts) // 1000 + {TRIGGER.silence * 1000} < (SELECT epoch_us(max(ts)) // 1000 FROM events) - {DELAY * 60_000}"),
+    "output_histogram_stream": _HISTOGRAM_SQL,
+    "join_state": f"""WITH {_R}, {_S}, w AS (SELECT least((SELECT max(t) FROM r), (SELECT max(t) FROM s)) - {DELAY * 60}000000000::BIGINT AS mark)
+SELECT 'r' AS side, r AS id FROM r, w WHERE x IS NOT NULL AND t + {JOINS["window_key_join_asym"].w_r}000000000::BIGINT > mark
+UNION ALL SELECT 's', s FROM s, w WHERE a IS NOT NULL AND t + {JOINS["window_key_join_asym"].w_s}000000000::BIGINT > mark""",
     "energy_report": "SELECT event_type AS config, min(event_id) AS latency, 0::BIGINT AS idle, max(event_id) AS proc, round(avg(floor(value)), 6) AS energy, count(*) AS in_count, count(DISTINCT user_id) AS out_count FROM events GROUP BY 1",
 }
