@@ -14,6 +14,7 @@ from tidejoin.operators.sessions import Trigger, sessions
 from tidejoin.plans.spec import JoinSpec, Predicate, Window
 from tidejoin.sources import streams
 from tidejoin.streaming.join import paced_join, replay_join
+from tidejoin.streaming.progress import paced_latency
 from tidejoin.streaming.running import paced_histogram, paced_state
 from tidejoin.streaming.sessions import replay_sessions
 
@@ -161,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "energy_report": _energy,
     "window_key_join_paced": _paced(JOINS["window_key_join_asym"]),
     "band_join_paced": _paced(JOINS["band_join"]),
+    "pair_latency_paced": lambda spark, sf_dir: paced_latency(*_pair(spark, sf_dir), JOINS["window_key_join"], R_ROWS, S_ROWS, TICKS, f"{DELAY} minutes"),
     "power_sessions": lambda spark, sf_dir: _sessions(sessions(_numbered(spark, sf_dir), TRIGGER)),
     "power_sessions_stream": lambda spark, sf_dir: _sessions(replay_sessions(_numbered(spark, sf_dir), TRIGGER, delay=f"{DELAY} minutes")),
     "output_histogram_stream": lambda spark, sf_dir: paced_histogram(*_pair(spark, sf_dir), JOINS["window_key_join"], HOUR, R_ROWS, S_ROWS, TICKS)[0],
@@ -262,6 +264,13 @@ SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY f)::INTEGER AS
     "power_corrected": "SELECT event_id, round(CASE WHEN v < 50 THEN v * 0.8 ELSE 40 + (v - 50) * 1.6 END, 6) AS corrected FROM (SELECT event_id, (value - 1) * 0.5 AS v FROM events)",
     "window_key_join_paced": _join_sql(JOINS["window_key_join_asym"]),
     "band_join_paced": _join_sql(JOINS["band_join"]),
+    "pair_latency_paced": f"""WITH {_R}, {_S},
+ a AS (SELECT 1 AS is_r, r AS id, t, row_number() OVER (ORDER BY t, r) - 1 AS no, count(*) OVER () AS n, {R_ROWS} AS size FROM r UNION ALL SELECT 0, s, t, row_number() OVER (ORDER BY t, s) - 1, count(*) OVER (), {S_ROWS} FROM s),
+ b AS (SELECT is_r, no // size - 1 AS batch, t AS due FROM a WHERE no > 0 AND no % size = 0 UNION ALL SELECT is_r, no // size, t FROM a WHERE no = n - 1),
+ k AS (SELECT *, row_number() OVER (ORDER BY due, is_r, batch) - 1 AS tick FROM b), m AS (SELECT tick // {TICKS} AS batch, max(due) AS end_ns FROM k GROUP BY 1),
+ e AS (SELECT a.is_r, a.id, a.t, k.tick // {TICKS} AS batch FROM a JOIN k ON a.is_r = k.is_r AND a.no // a.size = k.batch)
+SELECT p.r, p.s, m.batch, m.end_ns - greatest(er.t, es.t) AS latency_ns FROM ({_join_sql(JOINS["window_key_join"], "one AS (SELECT 1)")}) p
+ JOIN e er ON er.is_r = 1 AND er.id = p.r JOIN e es ON es.is_r = 0 AND es.id = p.s JOIN m ON m.batch = greatest(er.batch, es.batch)""",
     "power_sessions": _sessions_sql(TRIGGER, "true"),
     "power_sessions_stream": _sessions_sql(TRIGGER, f"f.l < f.m OR epoch_us(f.l_ts) // 1000 + {TRIGGER.silence * 1000} < (SELECT epoch_us(max(ts)) // 1000 FROM events) - {DELAY * 60_000}"),
     "output_histogram_stream": _HISTOGRAM_SQL,
