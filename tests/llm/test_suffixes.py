@@ -36,16 +36,50 @@ def test_planted_passages_match_brute_force(spark):
     assert all(r.n_words >= MIN_WORDS and r.other_id != r.doc_id for r in found)
 
 
+def passages(rows):
+    """{(doc, start, end, least other document)} of united stretches of MIN_WORDS words that another document has too."""
+    at = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - MIN_WORDS + 1):
+            at.setdefault(tuple(w[k : k + MIN_WORDS]), set()).add((i, k))
+    hits = {}
+    for found in at.values():
+        for i, k in found:
+            if others := {j for j, _ in found} - {i}:
+                hits.setdefault(i, []).append((k, min(others)))
+    out = set()
+    for i, found in hits.items():
+        united = []
+        for k, other in sorted(found):
+            if united and k <= united[-1][1]:
+                united[-1] = (united[-1][0], k + MIN_WORDS, min(united[-1][2], other))
+            else:
+                united.append((k, k + MIN_WORDS, other))
+        out |= {(i, *u) for u in united}
+    return out
+
+
 def test_every_partitioning_gives_the_same(spark):
-    text = " ".join(f"x{i}" for i in range(60))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    common, pair, chain = fresh(60), fresh(70), fresh(300)
+    texts = [common] * 9 + [["y", *common]] + [fresh(20) + common + fresh(20) for _ in range(12)] + [pair + fresh(5), fresh(9) + pair + common]
+    texts += [chain[k : k + 120] for k in range(0, 180, 30)] + [common[:49], common[5:58]]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    expected = passages(list(enumerate(texts)))
+    settings = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": None}
+    settings = {k: spark.conf.get(k) for k in settings}
     try:
-        for n in ("1", "3", "60"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "8", "60"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            found = repeated_passages(docs(spark, [text] * 7 + ["y " + text])).collect()
-            assert {(r.doc_id, r.start_word, r.end_word) for r in found} == {(i, 0, 60) for i in range(7)} | {(7, 1, 61)}
+            found = repeated_passages(docs(spark, texts)).collect()
+            assert {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in found} == expected and len(found) == len(expected)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
 
 
 def test_popular_seeds_hide_no_passage(spark):

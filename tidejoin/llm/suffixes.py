@@ -10,9 +10,10 @@ found, whatever else holds its seed. Longer passages hold many kept suffixes, an
 
 Plan: one Arrow pass makes about one row for eight words, range-partitioned and sorted by (seed,
 surroundings, document), so a passage in a third of all documents is dealt over as many partitions as
-it needs. Seeds are grouped within a partition. Other partitions may hold its first and last seed too:
-stretches of these that one document alone has there are joined with those that several documents have by
-an aggregation over the two least documents of each partition. No pairs are listed. Matches are united per document.
+it needs. Seeds are grouped within a partition. Other partitions may hold its first and last seed too: rows of
+these go out with their class, the seed and its surroundings; what a class meets in all partitions comes
+from an aggregation over its stretches and the two least documents that each partition has of a stretch.
+No pairs are listed. Matches are united per document.
 
 Surrounding words are compared by 16-bit hashes: an end may reach a word too far once in 65,536.
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidejoin.llm.staging import staged
+from tidejoin.llm.staging import few, staged
 from tidejoin.llm.text import Words, inside_text, mix64, ngram_hashes, slices
 
 MIN_WORDS, GRAM, NEIGHBOURS = 50, 8, 16
 REACH = NEIGHBOURS - 1
 SEED = MIN_WORDS - REACH
+#: Classes of edge rows up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 _SUFFIX = "doc long, at int, seed long, around binary"
 _WIDTH = 4 * REACH + 2  # left words outwards, right words, and how many of each there are
 
@@ -158,49 +161,60 @@ def _matches(doc: np.ndarray, at: np.ndarray, seed: np.ndarray, around: np.ndarr
     return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
 
 
-_FOUND = "doc long, start int, end int, other long, key long"
+#: Rows of several kinds, told apart by what is null: matches (start), edge rows (at), stretches of a class (split), documents of a stretch (key alone).
+_FOUND = "doc long, start int, end int, other long, at int, class long, split int, key long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of a sorted partition (no key); of its first and last seed, which other partitions may have, stretches that
-    one document alone has here (key), and the two least documents of every stretch (key, no start)."""
+    """Matches of a sorted partition. Its first and last seed may be in other partitions, too: of these, every row with its class (seed
+    and surroundings), the stretches of each class, and the two least documents of every stretch."""
     found = [b for b in batches if b.num_rows]
     if not found:
         return
     t = pa.Table.from_batches(found).combine_chunks()
     doc, at, seed = (t.column(c).to_numpy() for c in ("doc", "at", "seed"))
     around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, _WIDTH)
-    names = ["doc", "start", "end", "other", "key"]
-    nothing = lambda n, kind: pa.nulls(n, kind)
-    rows, start, end, other = _matches(doc, at, seed, around)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other), nothing(len(rows), pa.int64())], names)
-    edge = np.flatnonzero((seed == seed[0]) | (seed == seed[-1]))
-    for i, rows, key in _splits(seed[edge], around[edge]):
-        if not len(rows):
-            continue
-        d, begin = doc[edge][rows], (at[edge][rows] - i).astype(np.int32)
-        group, keys, one, two = _least_two(key, d)
-        more = one != two
-        alone = ~more[group]
-        d, begin, key = d[alone], begin[alone], key[alone]
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(begin), pa.array(begin + np.int32(MIN_WORDS)), nothing(len(d), pa.int64()), pa.array(key.view(np.int64))], names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((one, two[more]))), *(nothing(len(one) + int(more.sum()), k) for k in (pa.int32(), pa.int32(), pa.int64())), pa.array(np.concatenate((keys, keys[more])).view(np.int64))], names)
+    def rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        types = {name: pa.int64() if kind == "long" else pa.int32() for name, kind in (x.split() for x in _FOUND.split(", "))}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(k.to_pandas_dtype())) if c in columns else pa.nulls(n, k) for c, k in types.items()], list(types))
+
+    outer = (seed == seed[0]) | (seed == seed[-1])
+    inner, edge = np.flatnonzero(~outer), np.flatnonzero(outer)
+    if len(inner):
+        row, start, end, other = _matches(doc[inner], at[inner], seed[inner], around[inner])
+        yield rows(len(row), doc=doc[inner][row], start=start, end=end, other=other)
+    marks = mix64(seed[edge].view(np.uint64))
+    for column in np.ascontiguousarray(np.pad(around[edge], ((0, 0), (0, -_WIDTH % 8)))).view(np.uint64).T:
+        marks = mix64(marks * np.uint64(0x9E3779B97F4A7C15) + column)
+    yield rows(len(edge), doc=doc[edge], at=at[edge], **{"class": marks.view(np.int64)})
+    _, once = np.unique(marks, return_index=True)
+    firsts = np.zeros(len(edge), bool)
+    firsts[once] = True
+    for i, place, key in _splits(seed[edge], around[edge]):
+        if len(place):
+            own = firsts[place]
+            yield rows(int(own.sum()), split=np.full(int(own.sum()), i), key=key[own].view(np.int64), **{"class": marks[place][own].view(np.int64)})
+            _, keys, one, two = _least_two(key, doc[edge][place])
+            more = one != two
+            yield rows(len(one) + int(more.sum()), doc=np.concatenate((one, two[more])), key=np.concatenate((keys, keys[more])).view(np.int64))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, other_id): united passages of each document that other documents have too.
 
-    Words are counted from 0, end_word exclusive; other_id is the least document met. The id has to be an integer.
+    Words are counted from 0, end_word exclusive; other_id is the least other document that has MIN_WORDS words of it. The id has to be an integer.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     order = ["seed", "around", "doc", "at"]
     suffixes = rows.mapInArrow(_suffixes, _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = staged(suffixes.mapInArrow(_compare, _FOUND), "suffix-matches")
-    both = found.where("key IS NOT NULL AND start IS NULL").groupBy("key").agg(F.array_sort(F.collect_set("doc")).alias("docs"))  # two a partition at most
-    both = both.where(F.size("docs") > 1).select("key", F.col("docs")[0].alias("one"), F.col("docs")[1].alias("two"))
-    edges = found.where("key IS NOT NULL AND start IS NOT NULL").select("doc", "start", "end", "key").join(both, "key")
-    edges = edges.select("doc", "start", "end", F.when(F.col("doc") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"))
-    matches = found.where("key IS NULL").select("doc", "start", "end", "other").union(edges)
+    least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, 2)
+    both = found.where("key IS NOT NULL AND doc IS NOT NULL").groupBy("key").agg(least(F.collect_set("doc")).alias("docs")).where("size(docs) > 1")  # two a partition at most
+    stretches = found.where("split IS NOT NULL").select("class", "split", "key").distinct().join(both, "key")
+    met = stretches.groupBy("class").agg(F.max("split").alias("most"), F.min("split").alias("least"), least(F.flatten(F.collect_list("docs"))).alias("docs"))  # 16 splits at most
+    edges = found.where("at IS NOT NULL").select("doc", "at", "class").join(few(staged(met, "suffix-classes"), BROADCAST_ROWS), "class")
+    edges = edges.select("doc", (F.col("at") - F.col("most")).alias("start"), (F.col("at") + MIN_WORDS - F.col("least")).alias("end"), F.when(F.col("doc") == F.col("docs")[0], F.col("docs")[1]).otherwise(F.col("docs")[0]).alias("other"))
+    matches = found.where("start IS NOT NULL").select("doc", "start", "end", "other").union(edges)
 
     by_start = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
