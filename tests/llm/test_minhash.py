@@ -53,6 +53,28 @@ def test_groups_of_copies_match_brute_force(spark):
     check(spark, texts, 5)
 
 
+def test_an_id_with_several_texts(spark):
+    """It is linked with what any of its texts is like, in whatever order rows come."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choices([f"t{i}" for i in range(4000)], k=60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, c), (9, d), (9, c), (4, d), (10, text()), (10, text()), (11, None), (11, a), (3, b)]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t, 2))
+    like = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    low = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if any(like(x, y) for x in sets[i] for y in sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+    expected = sorted((i, len(shingles(t, 2)), low[i] if t else i) for i, t in rows)
+    for order in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        found = near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 2).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
+
+
 def test_chain_is_one_component(spark):
     assert {tuple(r) for r in components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect()} == {(i, 0) for i in range(61)}
 

@@ -15,7 +15,8 @@ Links are found without listing the pairs of a bucket:
    through its component, excluded by an exact bound, or verified.
 
 Defined results: null and empty texts have the empty set and are linked with nothing; rows without an
-id keep a null component and stay; repeated rows are one node; ties take the least id.
+id keep a null component and stay; repeated rows are one node; an id with several texts is one node that has all
+their sets, and is linked with whatever any of them is like; ties take the least id.
 """
 
 from __future__ import annotations
@@ -166,7 +167,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 
     some = seen.where("n_shingles > 0 AND node IS NOT NULL")
     classes = some.groupBy("s1", "s2").agg(F.min("node").alias("class"))
-    firsts = some.join(classes, ["s1", "s2"]).where("node = class").dropDuplicates(["node"])
+    named = some.join(classes, ["s1", "s2"])
+    firsts = named.where("node = class").dropDuplicates(["node", "s1", "s2"])  # a node has a row for each set
     firsts = staged(firsts.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"), "classes")
 
     shared = Window.partitionBy("key")
@@ -176,16 +178,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     members = members.join(central, "node").select("key", "node", "central")
     hubs = members.groupBy("key").agg(F.max(F.struct("central", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     star = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    star = staged(_with_both(star, firsts, ["n", "sketch"]).mapInArrow(_rule_out, pair), "star")
+    star = staged(_with_both(star, firsts, ["n", "sketch"]).mapInArrow(_rule_out, pair).distinct(), "star")
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         texts = rows.join(needed, "node", "left_semi")
         of = lambda t: {"shingles": pa.array([s.tobytes() for s in shingle_sets(t, width)], pa.binary())}
-        sets = staged(map_texts(texts, "shingles binary", of, "node", "text").dropDuplicates(["node"]).withColumnRenamed("shingles", "set"), "sets")
-        return staged(_with_both(pairs, sets, ["set"]).mapInArrow(_alike, pair), "verified")
+        sets = staged(map_texts(texts, "shingles binary", of, "node", "text").distinct().withColumnRenamed("shingles", "set"), "sets")
+        return staged(_with_both(pairs, sets, ["set"]).mapInArrow(_alike, pair).distinct(), "verified")
 
-    links = verified(star)
+    # an id with several sets links the classes of all of them
+    several = named.groupBy("node").agg(F.min("class").alias("a"), F.max("class").alias("most")).where("a < most")
+    same_id = named.select("node", F.col("class").alias("b")).join(several, "node").where("a < b").select("a", "b").distinct()
+    links = verified(star).union(staged(same_id, "same-id"))
     labels = components(links)
     left = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     left = left.withColumn("low", F.min("label").over(shared)).withColumn("high", F.max("label").over(shared)).where("low < high")
@@ -195,8 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("s1", "s2", F.coalesce("label", "class").alias("component"))
-    out = seen.select("node", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    components_of = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("s1", "s2", F.coalesce("label", "class").alias("component"))
+    out = seen.select("node", "n_shingles", "s1", "s2").join(components_of, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("node"))
     component = F.when(F.col("node").isNotNull(), component)
     return out.select(F.col("node").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
