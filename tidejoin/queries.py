@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidejoin.operators import power, stats
+from tidejoin.operators.asof import corrected_by_curve, zeroed
 from tidejoin.operators.join import join_pairs, window_join
 from tidejoin.operators.places import placed
+from tidejoin.operators.running import running_power
 from tidejoin.operators.sessions import Trigger, sessions
 from tidejoin.plans.spec import JoinSpec, Predicate, Window
 from tidejoin.sources import streams
@@ -83,6 +85,28 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(rows, ["channel"], [F.col("ts"), F.col("event_id")], "number").drop("event_id")
 
 
+def _cut(c: str) -> Column:
+    """Four decimals, cut where neither exact values nor their rounding errors fall."""
+    return (F.floor(F.col(c) * 10_000 + 0.12345) / 10_000.0).alias(c)
+
+
+def _corrected_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events as points of their channel's curve, a tenth as its zeros, the others as samples."""
+    rows = _samples(spark, sf_dir)
+    kind = F.col("event_id") % 10
+    points = rows.where(kind == 3).select("channel", F.col("value").alias("measured"), (F.col("value") * 1.1 + F.col("event_id") % 7 / 10.0).alias("true"))
+    zeros = rows.where(kind == 5).select("channel", "ts", (F.col("event_id") % 13 / 10.0).alias("zero"))
+    found = corrected_by_curve(zeroed(rows.where(~kind.isin(3, 5)), zeros, "channel", "ts", "value"), points, "channel", "zeroed")
+    return found.select("event_id", _cut("zeroed"), _cut("corrected"))
+
+
+def _running_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as volts, and currents from the ids."""
+    rows = placed(_samples(spark, sf_dir), ["channel"], [F.col("ts"), F.col("event_id")], "number").withColumn("amperes", F.col("event_id") % 50 / 10.0)
+    found = running_power(rows, "channel", "number", "value", "amperes")
+    return found.select("event_id", *(_cut(c) for c in found.columns if c.split("_")[0] in ("low", "mean", "high")))
+
+
 def _sessions(found: DataFrame) -> DataFrame:
     return found.select("channel", "trigger", "first", "last", "n", F.round("total", 4).alias("total"))
 
@@ -162,6 +186,8 @@ QUERIES: dict[str, Query] = {
     "energy_report": _energy,
     "window_key_join_paced": _paced(JOINS["window_key_join_asym"]),
     "band_join_paced": _paced(JOINS["band_join"]),
+    "power_corrected_table": _corrected_by_table,
+    "power_running": _running_power,
     "pair_latency_paced": lambda spark, sf_dir: paced_latency(*_pair(spark, sf_dir), JOINS["window_key_join"], R_ROWS, S_ROWS, TICKS, f"{DELAY} minutes"),
     "power_sessions": lambda spark, sf_dir: _sessions(sessions(_numbered(spark, sf_dir), TRIGGER)),
     "power_sessions_stream": lambda spark, sf_dir: _sessions(replay_sessions(_numbered(spark, sf_dir), TRIGGER, delay=f"{DELAY} minutes")),
@@ -264,6 +290,18 @@ SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY f)::INTEGER AS
     "power_corrected": "SELECT event_id, round(CASE WHEN v < 50 THEN v * 0.8 ELSE 40 + (v - 50) * 1.6 END, 6) AS corrected FROM (SELECT event_id, (value - 1) * 0.5 AS v FROM events)",
     "window_key_join_paced": _join_sql(JOINS["window_key_join_asym"]),
     "band_join_paced": _join_sql(JOINS["band_join"]),
+    "power_corrected_table": """WITH e AS (SELECT event_id, event_type AS channel, ts, value FROM events),
+ p AS (SELECT channel, value AS m, max(value * 1.1::DOUBLE + event_id % 7 / 10.0::DOUBLE) AS t FROM e WHERE event_id % 10 = 3 AND value IS NOT NULL GROUP BY 1, 2),
+ c AS (SELECT *, coalesce((lead(t) OVER w - t) / (lead(m) OVER w - m), (t - lag(t) OVER w) / (m - lag(m) OVER w), 1) AS slope FROM p WINDOW w AS (PARTITION BY channel ORDER BY m)),
+ z AS (SELECT channel, ts, max(event_id % 13 / 10.0::DOUBLE) AS zero FROM e WHERE event_id % 10 = 5 GROUP BY 1, 2),
+ v AS (SELECT e.event_id, e.channel, e.value - coalesce(z.zero, 0) AS x FROM e ASOF LEFT JOIN z ON e.channel = z.channel AND e.ts >= z.ts WHERE e.event_id % 10 NOT IN (3, 5)),
+ l AS (SELECT channel, min(m) AS m FROM c GROUP BY 1), f AS (SELECT c.* FROM c JOIN l ON c.channel = l.channel AND c.m = l.m),
+ b AS (SELECT v.*, c.m, c.t, c.slope FROM v ASOF LEFT JOIN c ON v.channel = c.channel AND v.x >= c.m)
+SELECT b.event_id, floor(b.x * 10000 + 0.12345::DOUBLE) / 10000 AS zeroed, floor(CASE WHEN b.m IS NOT NULL THEN b.t + (b.x - b.m) * b.slope WHEN f.m IS NOT NULL THEN f.t + (b.x - f.m) * f.slope ELSE b.x END * 10000 + 0.12345::DOUBLE) / 10000 AS corrected FROM b LEFT JOIN f ON b.channel = f.channel""",
+    "power_running": """WITH e AS (SELECT event_id, event_type AS channel, ts, value::DOUBLE AS v, event_id % 50 / 10.0::DOUBLE AS a, value * (event_id % 50 / 10.0::DOUBLE) AS w FROM events)
+SELECT event_id, """
+    + ", ".join(f"floor({f}({x}) OVER r * 10000 + 0.12345::DOUBLE) / 10000 AS {k}_{x}" for x in "vaw" for k, f in (("low", "min"), ("mean", "avg"), ("high", "max")))
+    + " FROM e WINDOW r AS (PARTITION BY channel ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "pair_latency_paced": f"""WITH {_R}, {_S},
  a AS (SELECT 1 AS is_r, r AS id, t, row_number() OVER (ORDER BY t, r) - 1 AS no, count(*) OVER () AS n, {R_ROWS} AS size FROM r UNION ALL SELECT 0, s, t, row_number() OVER (ORDER BY t, s) - 1, count(*) OVER (), {S_ROWS} FROM s),
  b AS (SELECT is_r, no // size - 1 AS batch, t AS due FROM a WHERE no > 0 AND no % size = 0 UNION ALL SELECT is_r, no // size, t FROM a WHERE no = n - 1),
