@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tidejoin.functions.murmur import bucket, murmur3
+from tidejoin.operators import join
 from tidejoin.operators.join import window_join
 from tidejoin.plans.experiments import highest_rate, next_range, processed_prefix, sweep
 from tidejoin.plans.spec import JoinSpec, Predicate, Window
@@ -75,6 +76,33 @@ def test_edges(spark):
         JoinSpec(w_r=0)
 
 
+@pytest.mark.parametrize(("predicate", "strict"), [(Predicate.KEY, True), (Predicate.BAND, False), (Predicate.SUM_INT, True)])
+def test_one_sided_blocks_of_a_hot_key(spark, monkeypatch, predicate, strict):
+    """A key with half of all rows is dealt over pairs of blocks, none of which holds more than two blocks."""
+    monkeypatch.setattr(join, "BLOCK", 8)
+    rng = random.Random(8)
+    r, s = ([(i, t, 3 if rng.random() < 0.5 else x, 2.0 if rng.random() < 0.5 else y) for i, t, x, y in rows(rng, 90)] for _ in range(2))
+    spec = JoinSpec(predicate, 5, 5, strict, Window.ONE_SIDED)
+    left, right = pair(spark, r, s)
+    assert sorted(tuple(p) for p in window_join(left, right, spec).collect()) == brute(r, s, spec)
+    a, b, _ = join._blocked(*join.keyed(left, right, spec), spec)
+    for side in (a.groupBy("r_key", "r_block", "r_meets"), b.groupBy("s_key", "s_meets", "s_block")):
+        counts = [x["count"] for x in side.count().collect()]
+        assert max(counts) <= 8 and len(counts) > 20
+
+
+def test_grid_meets_few_that_do_not_match(spark):
+    """With one value of x alone, the other column keeps rows apart."""
+    rng = random.Random(9)
+    r, s = ([(i, 0, 5, f32(rng.randrange(-(10**6), 10**6) / 100)) for i in range(1500)] + [(1500, 0, 5, float("inf")), (1501, 0, 5, 3e38), (1502, 0, 5, None)] for _ in range(2))
+    spec = JoinSpec(Predicate.BAND, window=Window.NONE)
+    found = window_join(*pair(spark, r, s), spec)
+    assert sorted(tuple(p) for p in found.collect()) == sorted((i, j) for i, _, _, y in r for j, _, _, b in s if y is not None and b is not None and abs(f32(b) - f32(y)) < 10)
+    cells = lambda rows: [int(y // 10) for *_, y in rows[:1500]]
+    met = sum(abs(p - q) <= 1 for p in cells(r) for q in cells(s))
+    assert met < 2 * found.count()
+
+
 @pytest.mark.parametrize(("predicate", "n"), [(Predicate.KEY, 7680), (Predicate.SUM_F32, 3840), (Predicate.BAND, 141738)])
 def test_linear_counts(spark, predicate, n):
     one = streams.linear_stream(spark, 3840, 32)
