@@ -42,17 +42,16 @@ def test_samples(spark):
     assert power.aligned(two, "channel", "t", "v", ["c", "d"]).count() == 2
 
 
-def test_blocks_and_slots_change_nothing(spark, monkeypatch):
+def test_blocks_and_partitions_change_nothing(spark, monkeypatch):
     import random
 
     rng = random.Random(1)
     values = [rng.choice([0, 1, 5, 9]) for _ in range(200)]
-    s = samples(spark, values)
-    slot = F.floor(F.col("t") / 13)
+    s = samples(spark, values).repartition(5)
     monkeypatch.setattr(power, "BLOCK", 17)
-    found = {r.t: r["mean"] for r in power.moving_average(s, "channel", ["t"], "v", 6, slot).collect()}
+    found = {r.t: r["mean"] for r in power.moving_average(s, "channel", ["t"], "v", 6).collect()}
     assert found == {i: pytest.approx(sum(values[max(0, i - 5) : i + 1]) / min(i + 1, 6)) for i in range(200)}
-    assert sorted(r.t for r in power.decimate(s, "channel", ["t"], 7, slot).collect()) == list(range(6, 200, 7))
+    assert sorted(r.t for r in power.decimate(s, "channel", ["t"], 7).collect()) == list(range(6, 200, 7))
     state, runs = 0, []
     for i, v in enumerate(values, 1):
         was, state = state, 1 if v >= 8 else 0 if v < 2 else state
@@ -61,7 +60,7 @@ def test_blocks_and_slots_change_nothing(spark, monkeypatch):
         elif state:
             runs[-1][1] = i
     expected = [(b - a + 1, max(1, a - 2), b) for a, b in runs if b - a + 1 >= 2]
-    got = power.triggered(s, "channel", ["t"], "v", on=8, off=2, least=2, before=2, slot=slot).orderBy("run").collect()
+    got = power.triggered(s, "channel", ["t"], "v", on=8, off=2, least=2, before=2).orderBy("run").collect()
     assert [(r.n, r["first"], r["last"]) for r in got] == expected
 
 

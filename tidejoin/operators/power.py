@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidejoin.operators.places import placed
+
 
 def log_mean(log: DataFrame, field: int = 4) -> DataFrame:
     """Mean of one field of a power log; a field that is no number counts as 0."""
@@ -33,40 +35,30 @@ def channel_ranges(samples: DataFrame, channel: str, value: Column) -> DataFrame
 BLOCK = 100_000
 
 
-def numbered(samples: DataFrame, channel: str, order: list[str], slot: Column | None = None) -> DataFrame:
-    """Adds number: of the sample in its channel, from 1.
-
-    slot: something that never falls along the order, a day for instance; samples are sorted a slot at a
-    time, and each slot begins where those before it end. Without it a channel is sorted in one task.
-    """
-    rows = samples.withColumn("__slot", F.lit(0) if slot is None else slot)
-    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy(channel, "__slot").orderBy(*order)))
-    before = Window.partitionBy("__c").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
-    sizes = rows.groupBy(F.col(channel).alias("__c"), F.col("__slot").alias("__s")).agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__c", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    met = rows.join(sizes, F.col(channel).eqNullSafe(F.col("__c")) & F.col("__slot").eqNullSafe(F.col("__s")))
-    return met.withColumn("number", F.col("number") + F.col("__before")).drop("__slot", "__c", "__s", "__before")
+def numbered(samples: DataFrame, channel: str, order: list[str]) -> DataFrame:
+    """Adds number: of the sample in its channel, from 1, by a range sort that deals a channel over as many tasks as it needs."""
+    return placed(samples, [channel], [F.col(c) for c in order], "number").withColumn("number", F.col("number") + 1)
 
 
-def moving_average(samples: DataFrame, channel: str, order: list[str], value: str, width: int, slot: Column | None = None) -> DataFrame:
+def moving_average(samples: DataFrame, channel: str, order: list[str], value: str, width: int) -> DataFrame:
     """Adds mean: of the last `width` samples of the channel, or of as many as there are."""
     if width < 1:
         raise ValueError("a width of 1 or more")
     size = max(BLOCK, width)
     block, place = F.floor((F.col("number") - 1) / size), (F.col("number") - 1) % size
     # the samples at a block's end are needed in the next one, too
-    rows = numbered(samples, channel, order, slot).withColumn("__own", block)
+    rows = numbered(samples, channel, order).withColumn("__own", block)
     rows = rows.withColumn("__block", F.explode(F.when(place > size - width, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
     last = Window.partitionBy(channel, "__block").orderBy("number").rowsBetween(1 - width, 0)
     return rows.withColumn("mean", F.avg(value).over(last)).where("__own = __block").drop("number", "__own", "__block")
 
 
-def decimate(samples: DataFrame, channel: str, order: list[str], every: int, slot: Column | None = None) -> DataFrame:
+def decimate(samples: DataFrame, channel: str, order: list[str], every: int) -> DataFrame:
     """Each `every`-th sample of a channel, the first kept being number `every`."""
-    return numbered(samples, channel, order, slot).where(F.col("number") % every == 0).drop("number")
+    return numbered(samples, channel, order).where(F.col("number") % every == 0).drop("number")
 
 
-def triggered(samples: DataFrame, channel: str, order: list[str], value: str, on: float, off: float, least: int = 1, before: int = 0, slot: Column | None = None) -> DataFrame:
+def triggered(samples: DataFrame, channel: str, order: list[str], value: str, on: float, off: float, least: int = 1, before: int = 0) -> DataFrame:
     """Runs of samples that a trigger with hysteresis passes: (channel, run, n, first, last) by sample number.
 
     A run begins at a value of `on` or more and lasts until one below `off`; shorter ones than `least`
@@ -74,7 +66,7 @@ def triggered(samples: DataFrame, channel: str, order: list[str], value: str, on
     samples are gone through apart: each begins in the last state, and with the number of runs, before it.
     """
     state = F.when(F.col(value) >= on, 1).when(F.col(value) < off, 0)
-    rows = numbered(samples, channel, order, slot).select(F.col(channel).alias("c"), "number", F.floor((F.col("number") - 1) / BLOCK).alias("block"), state.alias("state"))
+    rows = numbered(samples, channel, order).select(F.col(channel).alias("c"), "number", F.floor((F.col("number") - 1) / BLOCK).alias("block"), state.alias("state"))
     earlier = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     inside = Window.partitionBy("c", "block").orderBy("number")
 

@@ -127,7 +127,7 @@ def _run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = power.numbered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], F.to_date("ts"))
+    rows = power.numbered(_samples(spark, sf_dir), "channel", ["ts", "event_id"])
     return power.aligned(rows, "channel", "number", "value", ["view", "click"])
 
 
@@ -142,7 +142,7 @@ def _power_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = power.moving_average(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 5, F.to_date("ts"))
+    rows = power.moving_average(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 5)
     return rows.select("event_id", F.round("mean", 6).alias("mean"))
 
 
@@ -180,8 +180,8 @@ QUERIES: dict[str, Query] = {
     "power_trim": _power_trim,
     "power_minmaxavg": lambda spark, sf_dir: power.channel_ranges(_samples(spark, sf_dir), "channel", F.col("value")).withColumn("mean", F.round("mean", 6)),
     "moving_avg": _moving_avg,
-    "decimate": lambda spark, sf_dir: power.decimate(_samples(spark, sf_dir), "channel", ["ts", "event_id"], 5, F.to_date("ts")).select("channel", "event_id"),
-    "power_trigger": lambda spark, sf_dir: power.triggered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 60.0, 20.0, least=2, before=3, slot=F.to_date("ts")),
+    "decimate": lambda spark, sf_dir: power.decimate(_samples(spark, sf_dir), "channel", ["ts", "event_id"], 5).select("channel", "event_id"),
+    "power_trigger": lambda spark, sf_dir: power.triggered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 60.0, 20.0, least=2, before=3),
     "power_corrected": lambda spark, sf_dir: power.corrected(_samples(spark, sf_dir), "value", [(0.0, 0.0), (50.0, 40.0), (100.0, 120.0)], 0.5, 1.0).select("event_id", F.round("corrected", 6).alias("corrected")),
     "energy_report": _energy,
     "window_key_join_paced": _paced(JOINS["window_key_join_asym"]),
