@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidejoin.llm.components import components
-from tidejoin.llm.staging import staged
+from tidejoin.llm.staging import few, staged
 from tidejoin.llm.text import Words, map_texts, mix64, ngram_hashes
 
 BANDS, ROWS = 32, 4
@@ -38,6 +38,9 @@ SKETCH_BITS = 2_048
 #: Least similarity, in hundredths.
 SIMILAR = 80
 
+#: Ids up to which those of texts to verify are broadcast (16 MB); beyond, texts are shuffled once.
+BROADCAST_ROWS = 1_000_000
+
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 _FEATURES = "n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
@@ -181,8 +184,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     star = staged(_with_both(star, firsts, ["n", "sketch"]).mapInArrow(_rule_out, pair).distinct(), "star")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = rows.join(needed, "node", "left_semi")
+        needed = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+        texts = rows.join(few(needed, BROADCAST_ROWS), "node", "left_semi")
         of = lambda t: {"shingles": pa.array([s.tobytes() for s in shingle_sets(t, width)], pa.binary())}
         sets = staged(map_texts(texts, "shingles binary", of, "node", "text").distinct().withColumnRenamed("shingles", "set"), "sets")
         return staged(_with_both(pairs, sets, ["set"]).mapInArrow(_alike, pair).distinct(), "verified")
