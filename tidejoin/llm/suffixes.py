@@ -11,8 +11,8 @@ found, whatever else holds its seed. Longer passages hold many kept suffixes, an
 Plan: one Arrow pass makes about one row for eight words, range-partitioned and sorted by (seed,
 surroundings, document), so a passage in a third of all documents is dealt over as many partitions as
 it needs. Seeds are grouped within a partition. Other partitions may hold its first and last seed too: rows of
-these go out with their class, the seed and its surroundings; what a class meets in all partitions comes
-from an aggregation over its stretches and the two least documents that each partition has of a stretch.
+these go out gathered by their class, the seed and its surroundings; what a class meets in all partitions
+comes from an aggregation over its stretches and the two least documents that each partition has of a stretch.
 No pairs are listed. Matches are united per document.
 
 Surrounding words are compared by 16-bit hashes: an end may reach a word too far once in 65,536.
@@ -161,8 +161,11 @@ def _matches(doc: np.ndarray, at: np.ndarray, seed: np.ndarray, around: np.ndarr
     return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
 
 
-#: Rows of several kinds, told apart by what is null: matches (start), edge rows (at), stretches of a class (split), documents of a stretch (key alone).
-_FOUND = "doc long, start int, end int, other long, at int, class long, split int, key long"
+#: Rows of several kinds, told apart by what is null: matches (start), edge rows of a class (docs, ats), stretches of a class (split), documents of a
+#: stretch (key, doc). Matches have a class that is none, to be dealt by.
+_FOUND = "doc long, start int, end int, other long, docs array<long>, ats array<int>, class long, split int, key long"
+#: Edge rows of a class that go out as one row at most.
+TOGETHER = 4_096
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,18 +178,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     doc, at, seed = (t.column(c).to_numpy() for c in ("doc", "at", "seed"))
     around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, _WIDTH)
     def rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
-        types = {name: pa.int64() if kind == "long" else pa.int32() for name, kind in (x.split() for x in _FOUND.split(", "))}
-        return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(k.to_pandas_dtype())) if c in columns else pa.nulls(n, k) for c, k in types.items()], list(types))
+        plain = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+        types = {name: plain[kind] for name, kind in (x.split() for x in _FOUND.split(", "))}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]).cast(k) if c in columns else pa.nulls(n, k) for c, k in types.items()], list(types))
 
     outer = (seed == seed[0]) | (seed == seed[-1])
     inner, edge = np.flatnonzero(~outer), np.flatnonzero(outer)
     if len(inner):
         row, start, end, other = _matches(doc[inner], at[inner], seed[inner], around[inner])
-        yield rows(len(row), doc=doc[inner][row], start=start, end=end, other=other)
+        yield rows(len(row), doc=doc[inner][row], start=start, end=end, other=other, **{"class": doc[inner][row]})
     marks = mix64(seed[edge].view(np.uint64))
     for column in np.ascontiguousarray(np.pad(around[edge], ((0, 0), (0, -_WIDTH % 8)))).view(np.uint64).T:
         marks = mix64(marks * np.uint64(0x9E3779B97F4A7C15) + column)
-    yield rows(len(edge), doc=doc[edge], at=at[edge], **{"class": marks.view(np.int64)})
+    order = np.argsort(marks, kind="stable")
+    new = np.concatenate(([True], marks[order][1:] != marks[order][:-1]))
+    begin = np.flatnonzero(new)
+    since = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    cut = np.flatnonzero(since % TOGETHER == 0)
+    offsets = pa.array(np.append(cut, len(order)).astype(np.int32))
+    lists = {"docs": pa.ListArray.from_arrays(offsets, pa.array(doc[edge][order])), "ats": pa.ListArray.from_arrays(offsets, pa.array(at[edge][order]))}
+    yield rows(len(cut), **lists, **{"class": marks[order][cut].view(np.int64)})
     _, once = np.unique(marks, return_index=True)
     firsts = np.zeros(len(edge), bool)
     firsts[once] = True
@@ -212,9 +223,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = found.where("key IS NOT NULL AND doc IS NOT NULL").groupBy("key").agg(least(F.collect_set("doc")).alias("docs")).where("size(docs) > 1")  # two a partition at most
     stretches = found.where("split IS NOT NULL").select("class", "split", "key").distinct().join(both, "key")
     met = stretches.groupBy("class").agg(F.max("split").alias("most"), F.min("split").alias("least"), least(F.flatten(F.collect_list("docs"))).alias("docs"))  # 16 splits at most
-    edges = found.where("at IS NOT NULL").select("doc", "at", "class").join(few(staged(met, "suffix-classes"), BROADCAST_ROWS), "class")
-    edges = edges.select("doc", (F.col("at") - F.col("most")).alias("start"), (F.col("at") + MIN_WORDS - F.col("least")).alias("end"), F.when(F.col("doc") == F.col("docs")[0], F.col("docs")[1]).otherwise(F.col("docs")[0]).alias("other"))
-    matches = found.where("start IS NOT NULL").select("doc", "start", "end", "other").union(edges)
+    every = found.where("start IS NOT NULL OR docs IS NOT NULL").select("doc", "start", "end", "other", "ats", F.col("docs").alias("of"), "class").join(few(staged(met, "suffix-classes"), BROADCAST_ROWS), "class", "left")
+    other = lambda doc: F.when(doc == F.col("docs")[0], F.col("docs")[1]).otherwise(F.col("docs")[0])
+    match = lambda doc, start, end, other: F.struct(doc.alias("doc"), start.cast("int").alias("start"), end.cast("int").alias("end"), other.alias("other"))
+    edge = F.zip_with("of", "ats", lambda doc, at: match(doc, at - F.col("most"), at + MIN_WORDS - F.col("least"), other(doc)))
+    inner = F.array(match(*(F.col(c) for c in ("doc", "start", "end", "other"))))
+    every = every.where("start IS NOT NULL OR docs IS NOT NULL")  # a class that meets nothing has no documents
+    matches = every.select(F.explode(F.when(F.col("start").isNotNull(), inner).otherwise(edge)).alias("m")).select("m.*")
 
     by_start = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
