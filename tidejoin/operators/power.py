@@ -13,6 +13,16 @@ def log_mean(log: DataFrame, field: int = 4) -> DataFrame:
     return log.agg(F.avg(F.coalesce(F.get("values", F.lit(field)).try_cast("double"), F.lit(0.0))).alias("mean"))
 
 
+def log_means(log: DataFrame, by: str, field: int) -> DataFrame:
+    """(by, n, n_bad, mean, high) of one field of power logs, for each value of the column `by`: n_bad lines have no number there and count as 0.
+
+    Lines without a number in their first field, as headers are, are left out.
+    """
+    number = lambda i: F.get("values", F.lit(i)).try_cast("double")
+    body = log.where(number(0).isNotNull()).select(F.col(by), number(field).alias("x"))
+    return body.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("n_bad"), F.avg(F.coalesce("x", F.lit(0.0))).alias("mean"), F.max("x").alias("high"))
+
+
 def log_column_means(log: DataFrame, columns: int) -> DataFrame:
     """Means of the columns in which every field is a number (else NULL); columns beyond the shortest line are left out."""
     fields = [F.get("values", F.lit(i)).try_cast("double") for i in range(columns)]

@@ -14,11 +14,13 @@ from tidejoin.operators.places import placed
 from tidejoin.operators.running import running_power
 from tidejoin.operators.sessions import Trigger, sessions
 from tidejoin.plans.spec import JoinSpec, Predicate, Window
-from tidejoin.sources import streams
+from tidejoin.sources import measurements, streams
+from tidejoin.sources.shared import own_folder
 from tidejoin.streaming.join import paced_join, replay_join
 from tidejoin.streaming.progress import paced_latency
 from tidejoin.streaming.running import paced_histogram, paced_state
 from tidejoin.streaming.sessions import replay_sessions
+from tidejoin.streaming.sweep import Setting, paced_sweep, with_energy
 
 HOUR = 3600
 JOINS = {
@@ -38,6 +40,13 @@ BUCKETS, FANOUT = 1024, 64
 #: Rows of R and S in a batch of a paced replay, and ticks in a micro-batch.
 R_ROWS, S_ROWS, TICKS = 1_000, 1_500, 4
 TRIGGER = Trigger(on=60.0, off=40.0, filter=1, hold=1, end_filter=2, before=3, silence=6 * HOUR)
+#: Configurations of a sweep: batches in a micro-batch, and a wider window with smaller batches.
+SWEEP = {
+    "ticks4": Setting(JOINS["window_key_join"], R_ROWS, S_ROWS, 4),
+    "ticks1": Setting(JOINS["window_key_join"], R_ROWS, S_ROWS, 1),
+    "wide": Setting(JOINS["window_key_join_asym"], 700, 1_100, 3),
+}
+CHANNELS = ["view", "click", "purchase", "signup", "error"]
 #: How late rows of a stream may come, in minutes.
 DELAY = 10
 
@@ -160,6 +169,34 @@ def _energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("energy", F.round("energy", 6))
 
 
+def _energy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of a join with their energy, the events' values dealt to the runs by id; the machine's own times are left out."""
+    names = list(SWEEP)
+    config = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    watts = _events(spark, sf_dir).select(config.alias("config"), F.col("value").alias("watts"))
+    found = with_energy(paced_sweep(*_pair(spark, sf_dir), SWEEP, f"{DELAY} minutes"), watts)
+    return found.select("config", "latency", _cut("energy"), "in_count", "out_count")
+
+
+def _power_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as logs of time, volts, amperes and watts, and what these logs hold; every seventh line has no watts."""
+    amperes = F.col("event_id") % 50 / 10.0
+    watts = F.when(F.col("event_id") % 7 == 0, "bad").otherwise((F.col("value") * amperes).cast("string"))
+    rows = _samples(spark, sf_dir).select("channel", "event_id", "value", amperes.alias("amperes"), watts.alias("watts"), F.when(F.col("event_id") % 50 == 0, "mark").alias("note"))
+    path = own_folder(spark, "power-log")
+    measurements.write_power_log(rows, path, "channel", ["event_id", "value", "amperes", "watts"], "time  ch(V) ch(A) ch(W)", "note")
+    return power.log_means(measurements.power_log(spark, path), "channel", 3).select("channel", "n", "n_bad", _cut("mean"), _cut("high"))
+
+
+def _power_by_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide table of mean values by frequency (made from user ids), written as CSV, and read as a long one."""
+    freq = ((F.col("user_id") % 14 + 1) * 100).cast("int")
+    rows = _events(spark, sf_dir).groupBy(freq.alias("freq"), F.col("event_type").alias("config")).agg(F.avg("value").alias("W"))
+    path = own_folder(spark, "power-by-freq")
+    schema = measurements.write_frequencies(measurements.wide_frequencies(rows, CHANNELS), path)
+    return measurements.long_frequencies(measurements.frequency_table(spark, path, schema)).where("W IS NOT NULL").select("freq", "config", _cut("W"))
+
+
 QUERIES: dict[str, Query] = {
     **{name: _batch(spec) for name, spec in JOINS.items()},
     **{f"{name}_stream": _stream(spec) for name, spec in JOINS.items() if spec.window is not Window.NONE},
@@ -184,6 +221,9 @@ QUERIES: dict[str, Query] = {
     "power_trigger": lambda spark, sf_dir: power.triggered(_samples(spark, sf_dir), "channel", ["ts", "event_id"], "value", 60.0, 20.0, least=2, before=3),
     "power_corrected": lambda spark, sf_dir: power.corrected(_samples(spark, sf_dir), "value", [(0.0, 0.0), (50.0, 40.0), (100.0, 120.0)], 0.5, 1.0).select("event_id", F.round("corrected", 6).alias("corrected")),
     "energy_report": _energy,
+    "energy_sweep_paced": _energy_sweep,
+    "power_log_files": _power_log_files,
+    "power_by_freq": _power_by_freq,
     "window_key_join_paced": _paced(JOINS["window_key_join_asym"]),
     "band_join_paced": _paced(JOINS["band_join"]),
     "power_corrected_table": _corrected_by_table,
@@ -240,6 +280,24 @@ SELECT f.channel, f.fired AS trigger, f.f AS first, f.l AS last, f.n + coalesce(
 
 
 
+def _latency_sql(of: Setting) -> str:
+    """Pairs of a paced run with their latency on the stream's clock."""
+    return f"""WITH {_R}, {_S},
+ a AS (SELECT 1 AS is_r, r AS id, t, row_number() OVER (ORDER BY t, r) - 1 AS no, count(*) OVER () AS n, {of.r_rows} AS size FROM r UNION ALL SELECT 0, s, t, row_number() OVER (ORDER BY t, s) - 1, count(*) OVER (), {of.s_rows} FROM s),
+ b AS (SELECT is_r, no // size - 1 AS batch, t AS due FROM a WHERE no > 0 AND no % size = 0 UNION ALL SELECT is_r, no // size, t FROM a WHERE no = n - 1),
+ k AS (SELECT *, row_number() OVER (ORDER BY due, is_r, batch) - 1 AS tick FROM b), m AS (SELECT tick // {of.ticks} AS batch, max(due) AS end_ns FROM k GROUP BY 1),
+ e AS (SELECT a.is_r, a.id, a.t, k.tick // {of.ticks} AS batch FROM a JOIN k ON a.is_r = k.is_r AND a.no // a.size = k.batch)
+SELECT p.r, p.s, m.batch, m.end_ns - greatest(er.t, es.t) AS latency_ns FROM ({_join_sql(of.spec, "one AS (SELECT 1)")}) p
+ JOIN e er ON er.is_r = 1 AND er.id = p.r JOIN e es ON es.is_r = 0 AND es.id = p.s JOIN m ON m.batch = greatest(er.batch, es.batch)"""
+
+
+def _sweep_sql(settings: dict[str, Setting]) -> str:
+    """The report of each run, and the mean of the events' values dealt to it."""
+    runs = " UNION ALL ".join(f"SELECT '{name}' AS config, {k} AS k, round(avg(latency_ns) / 1e6, 3) AS latency, count(*) AS out_count FROM ({_latency_sql(of)})" for k, (name, of) in enumerate(settings.items()))
+    return f"""WITH runs AS ({runs}), e AS (SELECT event_id % {len(settings)} AS k, avg(value) AS w FROM events GROUP BY 1)
+SELECT config, latency, floor(e.w * 10000 + 0.12345::DOUBLE) / 10000 AS energy, (SELECT count(*) FROM events WHERE event_type IN ('view', 'click')) AS in_count, out_count FROM runs LEFT JOIN e USING (k)"""
+
+
 def _murmur_sql(source: str, key: str, seed: int, tag: str = "") -> str:
     """Steps whose last one, h6 with the tag, has the hashes h of a key, by row i."""
     t = tag
@@ -302,18 +360,17 @@ SELECT b.event_id, floor(b.x * 10000 + 0.12345::DOUBLE) / 10000 AS zeroed, floor
 SELECT event_id, """
     + ", ".join(f"floor({f}({x}) OVER r * 10000 + 0.12345::DOUBLE) / 10000 AS {k}_{x}" for x in "vaw" for k, f in (("low", "min"), ("mean", "avg"), ("high", "max")))
     + " FROM e WINDOW r AS (PARTITION BY channel ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
-    "pair_latency_paced": f"""WITH {_R}, {_S},
- a AS (SELECT 1 AS is_r, r AS id, t, row_number() OVER (ORDER BY t, r) - 1 AS no, count(*) OVER () AS n, {R_ROWS} AS size FROM r UNION ALL SELECT 0, s, t, row_number() OVER (ORDER BY t, s) - 1, count(*) OVER (), {S_ROWS} FROM s),
- b AS (SELECT is_r, no // size - 1 AS batch, t AS due FROM a WHERE no > 0 AND no % size = 0 UNION ALL SELECT is_r, no // size, t FROM a WHERE no = n - 1),
- k AS (SELECT *, row_number() OVER (ORDER BY due, is_r, batch) - 1 AS tick FROM b), m AS (SELECT tick // {TICKS} AS batch, max(due) AS end_ns FROM k GROUP BY 1),
- e AS (SELECT a.is_r, a.id, a.t, k.tick // {TICKS} AS batch FROM a JOIN k ON a.is_r = k.is_r AND a.no // a.size = k.batch)
-SELECT p.r, p.s, m.batch, m.end_ns - greatest(er.t, es.t) AS latency_ns FROM ({_join_sql(JOINS["window_key_join"], "one AS (SELECT 1)")}) p
- JOIN e er ON er.is_r = 1 AND er.id = p.r JOIN e es ON es.is_r = 0 AND es.id = p.s JOIN m ON m.batch = greatest(er.batch, es.batch)""",
+    "pair_latency_paced": _latency_sql(Setting(JOINS["window_key_join"], R_ROWS, S_ROWS, TICKS)),
     "power_sessions": _sessions_sql(TRIGGER, "true"),
     "power_sessions_stream": _sessions_sql(TRIGGER, f"f.l < f.m OR epoch_us(f.l_ts) // 1000 + {TRIGGER.silence * 1000} < (SELECT epoch_us(max(ts)) // 1000 FROM events) - {DELAY * 60_000}"),
     "output_histogram_stream": _HISTOGRAM_SQL,
     "join_state": f"""WITH {_R}, {_S}, w AS (SELECT least((SELECT max(t) FROM r), (SELECT max(t) FROM s)) - {DELAY * 60}000000000::BIGINT AS mark)
 SELECT 'r' AS side, r AS id FROM r, w WHERE x IS NOT NULL AND t + {JOINS["window_key_join_asym"].w_r}000000000::BIGINT > mark
 UNION ALL SELECT 's', s FROM s, w WHERE a IS NOT NULL AND t + {JOINS["window_key_join_asym"].w_s}000000000::BIGINT > mark""",
+    "energy_sweep_paced": _sweep_sql(SWEEP),
+    "power_log_files": """WITH w AS (SELECT event_type AS channel, CASE WHEN event_id % 7 <> 0 THEN value * (event_id % 50 / 10.0::DOUBLE) END AS w FROM events)
+SELECT channel, count(*) AS n, count(*) - count(w) AS n_bad, floor(avg(coalesce(w, 0)) * 10000 + 0.12345::DOUBLE) / 10000 AS mean, floor(max(w) * 10000 + 0.12345::DOUBLE) / 10000 AS high FROM w GROUP BY 1""",
+    "power_by_freq": f"""SELECT ((user_id % 14 + 1) * 100)::INTEGER AS freq, event_type AS config, floor(avg(value) * 10000 + 0.12345::DOUBLE) / 10000 AS "W"
+FROM events WHERE event_type IN ({", ".join(f"'{c}'" for c in CHANNELS)}) GROUP BY 1, 2 HAVING avg(value) IS NOT NULL""",
     "energy_report": "SELECT event_type AS config, min(event_id) AS latency, 0::BIGINT AS idle, max(event_id) AS proc, round(avg(floor(value)), 6) AS energy, count(*) AS in_count, count(DISTINCT user_id) AS out_count FROM events GROUP BY 1",
 }
