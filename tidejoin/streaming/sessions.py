@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidejoin.operators.sessions import SCHEMA, Trigger
 from tidejoin.sources.shared import own_folder
 from tidejoin.streaming.join import file_stream, in_time_slices, run_available
+from tidejoin.streaming.stores import ROCKSDB, settings
 
 #: number and time (microseconds) of the last sample; samples in a row above and below; the running session's trigger (-1: none), first, last,
 #: captured samples and their sum; samples since the trigger; the number after which samples may come ahead of a trigger.
@@ -127,13 +128,8 @@ def stream_sessions(samples: DataFrame, trigger: Trigger, delay: str = "1 minute
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, which state of one's own needs."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with settings(spark, ROCKSDB):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def replay_sessions(samples: DataFrame, trigger: Trigger, slices: int = 2, files: int = 2, delay: str = "1 minute") -> DataFrame:
