@@ -110,3 +110,30 @@ def test_schema_keeps_the_id_type(spark):
     frame = spark.createDataFrame([("a", "x")], "doc_id string, text string")
     assert quality_verdicts(frame, spark.createDataFrame([], "doc_id string, quality int")).schema["doc_id"].dataType.simpleString() == "string"
     assert DOCS["doc_id"].dataType.simpleString() == "bigint"
+
+
+def test_all_labelled_rows_count(spark, monkeypatch):
+    """No bound on the labelled rows that set ranges, leaves and threshold."""
+    monkeypatch.setattr(quality, "FIT_ROWS", 4, raising=False)  # the bound of an earlier form
+    good = [" ".join(f"w{(i * 37 + j * 11) % 911}x{'y' * (j % 5)}" for j in range(80 + i)) + "." for i in range(60)]
+    bad = [" ".join(f"{'#$%' * 3}{j}|" for j in range(90 + i)) for i in range(30)]
+    rows = [(i, int(i < 60), 0) for i in range(90)]
+    found = quality_verdicts(docs(spark, good + bad), labels(spark, rows)).toPandas().set_index("doc_id").sort_index()
+    assert found.kept[:60].mean() > 0.9 and found.kept[60:].mean() < 0.2
+
+
+def test_ranges_of_all_good_rows(spark):
+    rows = np.random.default_rng(4).normal(size=(3001, len(quality.FEATURES))).round(2)
+    found = quality.usual_range(spark.createDataFrame([(r.tolist(),) for r in rows], "features array<double>"))
+    expected = quality.UsualRange.of(rows)
+    for k in ("low", "high", "scale"):
+        assert np.allclose(getattr(found, k), getattr(expected, k), rtol=0, atol=1e-12)
+
+
+def test_leaves_stand_for_all_rows():
+    rows = np.random.default_rng(5).normal(size=(1000, 3))
+    forest = IsolationForest.fit(rows[:256])
+    count = lambda x: np.array([np.bincount(at, minlength=forest.feature.shape[1]) for at in forest.leaves(x)])
+    assert np.allclose(forest.weighed(count(rows[:256]), 256).score(rows), forest.score(rows))  # each tree drew just these
+    twice = forest.weighed(count(np.concatenate((rows, rows))), 256)
+    assert np.allclose(twice.score(rows), forest.weighed(count(rows), 256).score(rows)) and not np.allclose(twice.score(rows), forest.score(rows))
