@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -47,3 +48,54 @@ def test_odd_and_empty_tables(spark):
     assert bpe.bpe_round_trip(empty_docs(spark), PATH).count() == 0
     texts = [r.decoded for r in bpe.bpe_round_trip(odd_docs(spark), PATH, "ids").collect()]
     assert sorted(texts) == sorted(r.text or "" for r in odd_docs(spark).collect())
+
+
+WIDE = ["\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u3002", "\u200b", "\u0142", " ", "  ", "a", "\n", "\U0001f600"]
+
+
+def test_units_of_bytes_are_those_of_text():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(WIDE) for _ in range(rng.randrange(30))) for _ in range(2000)] + ["", " ", "a ", " a"]
+    offsets, data = bpe._buffers(pa.array(texts))
+    bounds = [*bpe.unit_starts(offsets, data).tolist(), len(data)]
+    found = [bytes(data[a:b]).decode() for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert found == [u for t in texts for u in bpe.units_of(t)]
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def encode_batch(self, texts, **how):
+        self.texts += len(texts)
+        return self.own.encode_batch(texts, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.own.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("keep", [0, bpe.KEEP])
+def test_new_units_go_to_the_library_in_runs(plain, monkeypatch, keep):
+    monkeypatch.setattr(bpe, "KEEP", keep)
+    c = bpe.Codec(PATH)
+    c.tokenizer = Counting(c.tokenizer)
+    rng = random.Random(9)
+    slices = [[" ".join(f"{rng.choice(['Wort', 'é', '漢', '<|endoftext|>'])}{rng.randrange(9000)}" for _ in range(300)) for _ in range(20)] for _ in range(4)]
+    for texts in slices:
+        for text, (n, ids, decoded) in zip(texts, bpe.encode_texts(texts, c), strict=True):
+            expected = plain.encode(text, add_special_tokens=False).ids
+            assert (n, ids, decoded.decode()) == (len(expected), ",".join(map(str, expected)), text)
+    assert c.tokenizer.texts < 300  # of some 20,000 different units
+
+
+def test_units_that_do_not_come_out_even_are_encoded_apart(plain, monkeypatch):
+    c = bpe.Codec(PATH)
+    c.token_sizes = c.token_sizes + 1  # as if tokens stood for other bytes
+    texts = ["some words and some more", "of which none come out even"]
+    assert [x[1] for x in bpe.encode_texts(texts, c)] == [",".join(map(str, plain.encode(t, add_special_tokens=False).ids)) for t in texts]

@@ -2,7 +2,10 @@
 
 A text is cut where a space follows a character that is not white space: the splitting pattern of
 byte-level BPE always breaks there, so the units on both sides are encoded apart and their ids joined
-without change. Units recur, so each task encodes the distinct ones of a slice once and keeps them.
+without change. Units recur, so each task encodes the distinct ones of a slice once and keeps them. New
+units are encoded in runs, one after another as in a text, and the ids of a run are dealt to its units by
+the bytes that each token stands for; units that may not follow each other, or whose bytes do not come
+out even, are encoded apart. Ids of texts are put together from those of units in Arrow and numpy.
 
 A unit longer than LEAF code points has no such place (long unsplit text). It becomes a binary tree of
 halves whose leaves are encoded apart; on the way up, a window around each join is encoded again and
@@ -17,17 +20,20 @@ be null (their long texts are kept apart by a row number made up in the scan).
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidejoin.llm.text import slices
+from tidejoin.llm.text import _buffers, slices
 
 #: Longest unit, in code points, that is encoded in one piece.
 LEAF = 2_048
@@ -35,9 +41,15 @@ LEAF = 2_048
 SPREAD = 65_536
 #: Least tokens that a window must share with either side.
 AGREE = 3
-#: Characters of the units that a Python worker keeps between slices (each takes some 250 bytes besides).
+#: Bytes of the units that a Python worker keeps between slices (each takes some 200 bytes besides).
 KEEP = 1_000_000
+#: New units that are encoded as one run.
+RUN = 500
 
+#: Byte values of white space, and its characters beyond ASCII as numbers of two and three bytes.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE_WHITE = np.array([int.from_bytes(chr(i).encode()) for i in range(128, 0x10000) if chr(i).isspace()])
 _ODD_SPACE = re.compile(r"\s ")  # a space after white space is not a safe cut
 
 Ids = list[int]
@@ -49,10 +61,15 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
-        self.size = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Keeps nothing: the number of each unit, the ids of all units, and where each unit's begin (and the last one's end)."""
+        self.kept: dict[bytes, int] = {}
+        self.ids, self.first, self.size = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def plain(self, texts: list[str]) -> list[Ids]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -71,22 +88,55 @@ class Codec:
                 out += concatenate(list(zip(leaves, self.plain(leaves), strict=True)), self)[1]
         return out
 
-    def fill(self, units: set[str]) -> None:
-        """Keeps ids, number and decoded bytes of the units that are not kept yet."""
-        new = [u for u in units if u not in self.kept]
-        if self.size > KEEP:
-            self.kept = {u: self.kept[u] for u in units if u in self.kept}
-            self.size = sum(map(len, self.kept))
-        self.size += sum(map(len, new))
-        short = [u for u in new if len(u) <= LEAF]
-        for u, ids in zip(short, self.plain(short), strict=True):
-            self.kept[u] = self.entry(ids)
-        for u in new:
-            if len(u) > LEAF:
-                self.kept[u] = self.entry(self.encode_unit(u))
-
-    def entry(self, ids: Ids) -> tuple[str, int, bytes]:
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.token_bytes, ids))
+    def numbers(self, units: list[bytes]) -> np.ndarray:
+        """The number of each unit (no two are the same); those that are not kept yet are encoded first."""
+        if self.size > KEEP and any(u not in self.kept for u in units):
+            old = [u for u in units if u in self.kept]
+            ids, first = runs(self.ids, self.first, np.array([self.kept[u] for u in old], np.int64))
+            self.forget()
+            self.keep(old, ids, first)
+        self.keep_new([u for u in units if u not in self.kept])
+        return np.fromiter((self.kept[u] for u in units), np.int64, len(units))
+
+    def keep(self, units: list[bytes], ids: np.ndarray, first: np.ndarray) -> None:
+        """Keeps units whose ids follow each other; first: where each unit's begin."""
+        self.kept |= zip(units, range(len(self.kept), len(self.kept) + len(units)), strict=True)
+        self.first = np.concatenate((self.first, first[1:] + len(self.ids)))
+        self.ids = np.concatenate((self.ids, ids))
+        self.size += sum(map(len, units))
+
+    def keep_new(self, units: list[bytes]) -> None:
+        apart, fit = [], []
+        for u in units:
+            text = u.decode()
+            (fit if len(text) <= LEAF and text[0] == " " and not text[-1].isspace() else apart).append(u)
+        for low in range(0, len(fit), 100 * RUN):
+            some = fit[low : low + 100 * RUN]
+            found = self.tokenizer.encode_batch_fast([b"".join(some[k : k + RUN]).decode() for k in range(0, len(some), RUN)], add_special_tokens=False)
+            ids = np.array([i for e in found for i in e.ids], np.int32)
+            ends = np.cumsum(self.token_sizes[ids])
+            bounds = np.cumsum([len(u) for u in some])
+            first = np.concatenate(([0], np.searchsorted(ends, bounds) + 1))
+            if len(ids) and first[-1] == len(ids) and (ends[first[1:] - 1] == bounds).all():
+                self.keep(some, ids, first)
+            else:
+                apart += some
+        texts = [u.decode() for u in apart]
+        short = iter(self.plain([t for t in texts if len(t) <= LEAF]))
+        found = [next(short) if len(t) <= LEAF else self.encode_unit(t) for t in texts]
+        self.keep(apart, np.array([i for x in found for i in x], np.int32), np.cumsum([0, *map(len, found)]))
+
+    @cached_property
+    def token_sizes(self) -> np.ndarray:
+        """How many bytes each token stands for."""
+        return np.array([len(x) for x in self.tables[1].to_pylist()], np.int64)
+
+    @cached_property
+    def tables(self) -> tuple[pa.Array, pa.Array]:
+        """Every id as a decimal, and the bytes that it stands for."""
+        known = set(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        n = max(known) + 1
+        return pa.array(map(str, range(n)), pa.large_string()), pa.array([self.token_bytes(i) if i in known else b"" for i in range(n)], pa.large_binary())
 
     @lru_cache(maxsize=None)  # noqa: B019  one codec a worker, and as many entries as the vocabulary has
     def token_bytes(self, i: int) -> bytes:
@@ -172,14 +222,37 @@ def units_of(text: str) -> list[str]:
     return out
 
 
-def encode_texts(texts: list[str], c: Codec) -> Iterator[tuple[int, str, bytes]]:
+def unit_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where units of UTF-8 texts start, as in units_of."""
+    at = np.flatnonzero(data[1:] == 0x20) + 1
+    at = at[~_WHITE[data[at - 1]]]
+    last = [np.where(at >= k, data[at - k], 0).astype(np.int64) for k in (1, 2, 3)]
+    two = last[0] | last[1] << 8
+    white = (last[0] >= 0x80) & (np.isin(two, _WIDE_WHITE) | np.isin(two | last[2] << 16, _WIDE_WHITE))
+    starts = np.zeros(len(data), bool)
+    starts[at[~white]] = True
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(starts)
+
+
+def runs(values: np.ndarray, first: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values with these numbers, one after another, and where each begins (and the last one ends). first: the same of all runs."""
+    length = first[numbers + 1] - first[numbers]
+    bounds = np.concatenate(([0], np.cumsum(length)))
+    return values[np.arange(bounds[-1]) + np.repeat(first[numbers] - bounds[:-1], length)], bounds
+
+
+def encode_texts(texts: list[str] | pa.Array, c: Codec) -> Iterator[tuple[int, str, bytes]]:
     """(number of ids, ids as decimals joined by commas, decoded bytes) of each text."""
-    cut = [units_of(t) for t in texts]
-    c.fill({u for units in cut for u in units})
-    kept = c.kept
-    for units in cut:
-        found = [kept[u] for u in units]
-        yield sum(f[1] for f in found), ",".join([f[0] for f in found if f[1]]), b"".join([f[2] for f in found])
+    offsets, data = _buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    starts = unit_starts(offsets, data)
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    numbers = c.numbers(units.dictionary.to_pylist())[units.indices.to_numpy()]
+    ids, first = runs(c.ids, c.first, numbers)
+    of_text = first[np.searchsorted(starts, offsets)]
+    joined = (pc.binary_join(pa.LargeListArray.from_arrays(of_text, table.take(pa.array(ids))), pa.scalar(sep, table.type)) for table, sep in zip(c.tables, (",", b""), strict=True))
+    yield from zip(np.diff(of_text).tolist(), *(x.to_pylist() for x in joined), strict=True)
 
 
 def _digests(n: int, ids: str, decoded: bytes) -> tuple[int, str, str]:
@@ -213,7 +286,7 @@ def bpe_round_trip(docs: DataFrame, path: str, out: str = "digests", id_col: str
         c = codec(path)
         for batch in batches:
             for low, high in slices(batch.column(1)):
-                found = [shape(*x) for x in encode_texts(batch.column(1).slice(low, high - low).to_pylist(), c)]
+                found = [shape(*x) for x in encode_texts(batch.column(1).slice(low, high - low), c)]
                 columns = [pa.array(list(v), t) for v, t in zip(zip(*found, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], names)
 
