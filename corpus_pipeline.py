@@ -19,18 +19,22 @@ from tidejoin.llm.lines import dedup_lines
 from tidejoin.llm.minhash import near_duplicates
 from tidejoin.llm.quality import quality_verdicts
 from tidejoin.llm.queries import byte_bpe_path, table
-from tidejoin.llm.staging import scratch, staged
+from tidejoin.llm.staging import few, scratch, staged
+
+
+#: Ids of rejected rows (with a hash each) up to which they are broadcast, so that no text is shuffled; Spark shuffles both sides beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the ids in rejected."""
-    gone = rejected.select(F.col("doc_id").alias("__gone")).distinct()
+    gone = few(staged(rejected.select(F.col("doc_id").alias("__gone")).distinct(), "rejected"), BROADCAST_ROWS)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 def without_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose id and text (by its hash, mark) are in rejected."""
-    gone = rejected.select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    gone = few(staged(rejected.select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct(), "rejected"), BROADCAST_ROWS)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__mark"]), "left_anti")
 
 

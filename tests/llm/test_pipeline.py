@@ -76,3 +76,19 @@ def test_a_rejected_row_takes_no_other_row_of_its_id_along(spark, folder):
         assert len(found) == 3 and sum("shared" in t for t in found) == 1
         leaked = spark.createDataFrame([(key, t, "en", "s", 9) for t in [*kept, leak]], COLUMNS)
         assert {r.text for r in corpus_pipeline.decontaminate(spark, leaked, folder).collect()} == kept
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_few_rejected_rows_shuffle_no_text(spark, folder, monkeypatch, most):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", most, raising=False)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage, left in ((corpus_pipeline.near_dedup, {3: 1, 40: 0}), (corpus_pipeline.decontaminate, {3: 1, 49: 0})):
+            out = stage(spark, docs, folder)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("SortMergeJoin" in plan) == (most == 0)
+            assert [out.where(f"doc_id = {i}").count() for i in left] == list(left.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
