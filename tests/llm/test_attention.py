@@ -38,6 +38,43 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4, k
 
 
+def test_classes_share_all_probability():
+    rng = np.random.default_rng(2)
+    every = np.arange(A.CLASSES + 1)
+    seen = rng.integers(0, 900, A.CLASSES + 1)
+    w = A.first_weights() | A.class_frequencies(seen)
+    flat = np.exp(A.class_log_probs(w | {"u": w["u"] * 0, "ug": w["ug"] * 0}, rng.normal(0, 1, (len(every), A.WIDTH)).astype(np.float32), every))
+    assert np.allclose(flat, (seen + 0.5) / (seen + 0.5).sum(), rtol=1e-4)
+    for size in (1, 300):  # with large logits, too
+        z = np.repeat(rng.normal(0, size, (3, A.WIDTH)).astype(np.float32), len(every), 0)
+        w = {k: v * (size if k in ("u", "ug") else 1) for k, v in w.items()}
+        found = A.class_log_probs(w, z, np.tile(every, 3))
+        assert np.isfinite(found).all() and np.allclose(np.exp(found.reshape(3, -1)).sum(1), 1, atol=1e-4)
+        mixed = rng.permutation(len(z))
+        assert np.allclose(A.class_log_probs(w, z[mixed], np.tile(every, 3)[mixed]), found[mixed], rtol=1e-5, atol=1e-5)
+
+
+def test_large_attention_scores():
+    rng = np.random.default_rng(4)
+    w = A.first_weights()
+    w |= {"q": w["q"] * 300, "k": w["k"] * 300}
+    ids = rng.integers(0, A.TAILS, (2, 5, A.CONTEXT))
+    s = A.hidden(w, ids[0], ids[1])["s"]
+    assert np.isfinite(s).all() and np.allclose(s.sum(-1), 1, atol=1e-4) and not np.triu(s, 1).any()
+
+
+def test_a_target_costs_a_fraction_of_the_classes(monkeypatch):
+    rng = np.random.default_rng(3)
+    w, n, made, exp = A.first_weights(), 64, [], np.exp
+    ids, target = rng.integers(0, A.TAILS, (2, n, A.CONTEXT)), rng.integers(0, A.CLASSES + 1, (n, A.CONTEXT))
+    monkeypatch.setattr(np, "exp", lambda x, **k: made.append(np.size(x)) or exp(x, **k))
+    A.class_log_probs(w, np.zeros((n, A.WIDTH), np.float32), target[:, 0])
+    assert 0 < sum(made) < n * A.CLASSES / 4
+    made.clear()
+    A.gradients(w, ids[0], ids[1], target)
+    assert 0 < sum(made) < target.size * (A.CONTEXT + A.CLASSES / 4)
+
+
 def test_windows_score_each_token_once_and_causally():
     import pyarrow as pa
 

@@ -1,8 +1,8 @@
 """Language-model scoring with a small causal self-attention model written and trained in numpy.
 
 A word goes in as two subword ids (its beginning and its ending, hashed to fixed tables) and comes out
-in two steps: attention over a window gives the probability of the word's class (a hashed beginning),
-and counts over all learning documents give the word within its class. As in the base measure, all words
+in two steps: attention over a window gives the probability of the word's class (a hashed beginning), as that of a group of
+classes times that of the class within the group, and counts over all learning documents give the word within its class. As in the base measure, all words
 never seen are one event, here one of each class, which counts as often as the class has kinds of words. The end of
 a text is a class of its own. Windows of CONTEXT places overlap by CONTEXT - STRIDE, so that each token
 is scored once, with some context before it; padding is masked.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from tidejoin.llm.staging import few, staged
 from tidejoin.llm.text import Words, mix64, slices
 
 CLASSES, STARTS, TAILS = 256, 1024, 512
+#: The classes of words in equal groups: a class has the probability of its group times its own within the group. The end is a group of its own.
+GROUPS, MEMBERS = 16, CLASSES // 16
 WIDTH, INNER = 16, 32
 CONTEXT, STRIDE = 32, 24
 #: Rounds of averaging, and windows from which one model is trained before it is averaged with others.
@@ -48,7 +51,7 @@ BLOCK, BLOCK_BYTES = 4_000, 32_000_000
 BROADCAST_ROWS = 1_000_000
 _SHAPES = {
     "start": (STARTS + 1, WIDTH), "tail": (TAILS + 1, WIDTH), "place": (CONTEXT, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
-    "w1": (WIDTH, INNER), "b1": (INNER,), "w2": (INNER, WIDTH), "u": (WIDTH, CLASSES + 1), "c": (CLASSES + 1,),
+    "w1": (WIDTH, INNER), "b1": (INNER,), "w2": (INNER, WIDTH), "u": (WIDTH, GROUPS + 1), "c": (GROUPS + 1,), "ug": (GROUPS, WIDTH, MEMBERS), "cg": (GROUPS, MEMBERS),
 }
 _FUTURE = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 Weights = dict[str, np.ndarray]
@@ -56,7 +59,7 @@ Weights = dict[str, np.ndarray]
 
 def first_weights() -> Weights:
     rng = np.random.default_rng(12)
-    return {k: (rng.normal(0, 0.3 if k in ("start", "tail") else 0.02 if k == "u" else s[0] ** -0.5 if len(s) > 1 else 0, s)).astype(np.float32) for k, s in _SHAPES.items()}
+    return {k: (rng.normal(0, 0.3 if k in ("start", "tail") else 0.02 if k in ("u", "ug") else 0 if k == "cg" else s[0] ** -0.5 if len(s) > 1 else 0, s)).astype(np.float32) for k, s in _SHAPES.items()}
 
 
 def flat(w: Weights) -> np.ndarray:
@@ -72,117 +75,207 @@ def unflat(x: np.ndarray) -> Weights:
     return out
 
 
+def _large(x: np.ndarray) -> bool:
+    """Whether the greatest of a row has to be taken off before exp."""
+    return not max(x.max(initial=0), -x.min(initial=0)) < 60
+
+
 def hidden(w: Weights, start: np.ndarray, tail: np.ndarray) -> dict[str, np.ndarray]:
     """Everything up to the last hidden layer, for windows of ids (batch, CONTEXT)."""
-    x = w["start"][start] + w["tail"][tail] + w["place"][: start.shape[1]]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _FUTURE[: start.shape[1], : start.shape[1]]
-    s -= s.max(-1, keepdims=True)
+    shape = start.shape
+    x = w["start"].take(start, 0)
+    x += w["tail"].take(tail, 0)
+    x += w["place"][: shape[1]]
+    flat_x = x.reshape(-1, WIDTH)  # products over all places at once, not window by window
+    qkv = (flat_x @ np.concatenate((w["q"], w["k"], w["v"]), 1)).reshape(*shape, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    large = _large(s)
+    s += _FUTURE[: shape[1], : shape[1]]
+    if large:
+        s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    s /= (s.reshape(-1, shape[1]) @ np.ones(shape[1], s.dtype)).reshape(*shape, 1)
     a = s @ v
-    y = x + a @ w["o"]
-    h = np.maximum(y @ w["w1"] + w["b1"], 0)
-    return {"x": x, "q": q, "k": k, "v": v, "s": s, "a": a, "y": y, "h": h, "z": y + h @ w["w2"]}
-
-
-_scratch: dict[tuple, np.ndarray] = {}
-
-
-def _logits(w: Weights, z: np.ndarray) -> np.ndarray:
-    """Logits of rows of hidden states, in memory that the next call uses again; less the greatest of each row, unless their bound shows that none is large."""
-    kind = len(z), z.dtype
-    if kind not in _scratch:
-        if len(_scratch) > 8:
-            _scratch.clear()
-        _scratch[kind] = np.empty((len(z), CLASSES + 1), z.dtype)
-    out = np.matmul(z, w["u"], out=_scratch[kind])
-    out += w["c"]
-    bound = np.sqrt((z * z).sum(-1).max(initial=0) * (w["u"] * w["u"]).sum(0).max()) + np.abs(w["c"]).max()
-    if not bound < 60:
-        out -= out.max(-1, keepdims=True)
-    return out
+    y = flat_x + a.reshape(-1, WIDTH) @ w["o"]
+    h = y @ w["w1"]
+    h += w["b1"]
+    np.maximum(h, 0, out=h)
+    z = h @ w["w2"]
+    z += y
+    return {"x": x, "q": q, "k": k, "v": v, "s": s, "a": a} | {n: r.reshape(*shape, -1) for n, r in (("y", y), ("h", h), ("z", z))}
+
+
+def _softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Turns rows of logits into probabilities, in place; the natural log probability of place `at` of each row."""
+    if _large(x):
+        x -= x.max(-1, keepdims=True)
+    rows = np.arange(len(x))
+    found = x[rows, at]
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    x /= sums[:, None]
+    return found - np.log(sums)
+
+
+@dataclass
+class Targets:
+    """Probabilities of some targets, which come sorted: first of the group of classes, then of the class within its group."""
+
+    log: np.ndarray  # natural log probability of each target
+    z: np.ndarray  # hidden states, with a one
+    group: np.ndarray
+    of_group: np.ndarray  # probabilities of all groups
+    member: np.ndarray  # of the words, which come before the ends of texts
+    of_member: np.ndarray  # probabilities of all classes of the word's group
+    edges: list[tuple[int, int]]  # the words of each group
+
+    @classmethod
+    def of(cls, w: Weights, z: np.ndarray, target: np.ndarray) -> Targets:
+        one = np.ones((len(z), WIDTH + 1), z.dtype)
+        one[:, :WIDTH] = z
+        group = target // MEMBERS
+        of_group = one @ np.concatenate((w["u"], w["c"][None]))
+        log = _softmax(of_group, group)
+        at = np.searchsorted(target, np.arange(0, CLASSES + 1, MEMBERS)).tolist()
+        edges = list(zip(at[:-1], at[1:], strict=True))
+        member = target[: at[-1]] % MEMBERS
+        of_member = np.empty((at[-1], MEMBERS), z.dtype)
+        inner = np.concatenate((w["ug"], w["cg"][:, None]), 1)
+        for (low, high), mine in zip(edges, inner, strict=True):
+            np.matmul(one[low:high], mine, out=of_member[low:high])
+        log[: at[-1]] += _softmax(of_member, member)
+        return cls(log, one, group, of_group, member, of_member, edges)
+
+    def back(self, w: Weights, g: Weights) -> np.ndarray:
+        """Gradients of minus the mean log probability: of the hidden states, and into g of the output layer."""
+        n, words = np.float32(1 / max(1, len(self.log))), len(self.member)
+        self.of_group[np.arange(len(self.group)), self.group] -= 1
+        self.of_group *= n
+        self.of_member[np.arange(words), self.member] -= 1
+        self.of_member *= n
+        both = self.of_group.T @ self.z
+        g["u"], g["c"] = both[:, :WIDTH].T, both[:, WIDTH]
+        dz = self.of_group @ w["u"].T
+        inner = np.zeros((GROUPS, MEMBERS, WIDTH + 1), dz.dtype)
+        for k, (low, high) in enumerate(self.edges):
+            d = self.of_member[low:high]
+            np.matmul(d.T, self.z[low:high], out=inner[k])
+            dz[low:high] += d @ w["ug"][k].T
+        g["ug"], g["cg"] = inner[..., :WIDTH].transpose(0, 2, 1), inner[..., WIDTH]
+        return dz
+
+
+def _sorted(target: np.ndarray) -> np.ndarray:
+    """The order of targets, without padding (-1)."""
+    order = np.argsort(target.astype(np.int16), kind="stable")
+    return order[np.count_nonzero(target < 0) :]
 
 
 def class_log_probs(w: Weights, z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, for rows of hidden states."""
-    out = np.zeros(len(z), z.dtype)
-    for low in range(0, len(z), 1024):
-        rows = z[low : low + 1024]
-        logits = _logits(w, rows)
-        out[low : low + 1024] = logits[np.arange(len(rows)), target[low : low + 1024]]
-        np.exp(logits, out=logits)
-        out[low : low + 1024] -= np.log(logits.sum(-1))
+    order, out = _sorted(target), np.zeros(len(z), z.dtype)
+    out[order] = Targets.of(w, z.take(order, 0), target[order]).log
     return out
 
 
 def gradients(w: Weights, start: np.ndarray, tail: np.ndarray, target: np.ndarray) -> tuple[float, Weights]:
     """Mean loss over targets of 0 and more, and its gradients."""
     f = hidden(w, start, tail)
+    shape = start.shape
     two = lambda a: a.reshape(-1, a.shape[-1])
-    real = target.ravel() >= 0
-    n = max(1, int(real.sum()))
-    p = _logits(w, two(f["z"]))
-    np.exp(p, out=p)
-    sums = p.sum(-1)
-    rows = np.flatnonzero(real)
-    picked = target.ravel()[rows]
-    loss = -float(np.log(p[rows, picked] / sums[rows] + 1e-30).sum()) / n
-    p[rows, picked] -= sums[rows]
-    scale = (real / (sums * np.float32(n))).astype(p.dtype)  # on the narrow side of each product
-    g: Weights = {"u": (two(f["z"]) * scale[:, None]).T @ p, "c": scale @ p}
-    dz = ((p @ w["u"].T) * scale[:, None]).reshape(f["z"].shape)
-    dh = (dz @ w["w2"].T) * (f["h"] > 0)
-    g["w2"], g["w1"], g["b1"] = two(f["h"]).T @ two(dz), two(f["y"]).T @ two(dh), two(dh).sum(0)
-    dy = dz + dh @ w["w1"].T
-    g["o"] = two(f["a"]).T @ two(dy)
-    da = dy @ w["o"].T
+    order = _sorted(target.ravel())
+    found = Targets.of(w, two(f["z"]).take(order, 0), target.ravel()[order])
+    loss = -float(found.log.sum()) / max(1, len(order))
+    g: Weights = {}
+    z = two(f["z"])
+    dz = np.zeros_like(z)
+    dz[order] = found.back(w, g)
+    ones = np.ones(len(z), z.dtype)
+    dh = dz @ w["w2"].T
+    dh *= two(f["h"]) > 0
+    g["w2"], g["w1"], g["b1"] = two(f["h"]).T @ dz, two(f["y"]).T @ dh, ones @ dh
+    dy = dh @ w["w1"].T
+    dy += dz
+    g["o"] = two(f["a"]).T @ dy
+    da = (dy @ w["o"].T).reshape(f["a"].shape)
+    s = f["s"]
+    dqkv = np.empty((*shape, 3 * WIDTH), z.dtype)
     ds = da @ f["v"].transpose(0, 2, 1)
-    dv = f["s"].transpose(0, 2, 1) @ da
-    ds = f["s"] * (ds - (ds * f["s"]).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = two(f["x"]).T @ two(d)
-    dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    ds -= ((da * f["a"]).reshape(-1, WIDTH) @ np.ones(WIDTH, z.dtype)).reshape(*shape, 1)
+    ds *= s
+    ds *= np.float32(WIDTH**-0.5)
+    np.matmul(ds, f["k"], out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(s.transpose(0, 2, 1), da, out=dqkv[..., 2 * WIDTH :])
+    g["q"], g["k"], g["v"] = (a.T for a in np.split(two(dqkv).T @ two(f["x"]), 3))
+    dx = two(dqkv) @ np.concatenate((w["q"], w["k"], w["v"]), 1).T
+    dx += dy
     g["place"] = np.zeros(_SHAPES["place"], np.float32)
-    g["place"][: start.shape[1]] = dx.sum(0)
+    g["place"][: shape[1]] = dx.reshape(*shape, WIDTH).sum(0)
     for name, ids in (("start", start), ("tail", tail)):
-        order = np.argsort(ids, axis=None, kind="stable")
-        known, at = np.unique(ids.ravel()[order], return_index=True)
-        g[name] = np.zeros(_SHAPES[name], np.float32)
-        g[name][known] = np.add.reduceat(two(dx)[order], at, axis=0)
+        cells = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g[name] = np.bincount(cells, dx.ravel(), np.prod(_SHAPES[name])).reshape(_SHAPES[name]).astype(np.float32)
     return loss, g
 
 
 def train(w: Weights, start: np.ndarray, tail: np.ndarray, target: np.ndarray, rate: float = 4e-3, batch: int = BATCH) -> Weights:
     """One pass of Adam over the windows."""
-    w = {k: v.copy() for k, v in w.items()}
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    s = {k: np.zeros_like(v) for k, v in w.items()}
+    x = flat(w)
+    w = unflat(x)  # views of x
+    m, s, step_of = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
     for step, low in enumerate(range(0, len(start), batch), 1):
-        _, g = gradients(w, start[low : low + batch], tail[low : low + batch], target[low : low + batch])
-        for k in w:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            w[k] -= (rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+        g = flat(gradients(w, start[low : low + batch], tail[low : low + batch], target[low : low + batch])[1])
+        np.subtract(g, m, out=step_of)
+        step_of *= np.float32(0.1)
+        m += step_of
+        np.multiply(g, g, out=g)
+        g -= s
+        g *= np.float32(0.01)
+        s += g
+        np.multiply(s, np.float32(1 / (1 - 0.99**step)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(m, g, out=step_of)
+        step_of *= np.float32(rate / (1 - 0.9**step))
+        x -= step_of
     return w
 
 
-@dataclass
 class Tokens:
-    """Words of some texts with their ids; every text also has a beginning (input) and an end (target)."""
+    """Words of some texts with their ids; every text also has a beginning (input) and an end (target).
 
-    words: Words
-    hash: np.ndarray
-    start: np.ndarray
-    tail: np.ndarray
-    word_class: np.ndarray
+    Each kind of id is made when it is first asked for.
+    """
+
+    def __init__(self, words: Words):
+        self.words = words
 
     @classmethod
     def of(cls, texts: pa.Array) -> Tokens:
-        w = Words(texts, lower=True)
-        top = lambda h, n: (h >> np.uint64(40)).astype(np.int64) % n
-        return cls(w, w.hashes(), top(w.span_hash(w.starts, np.minimum(w.ends, w.starts + 4)), STARTS), top(w.span_hash(np.maximum(w.starts, w.ends - 3), w.ends), TAILS), top(w.span_hash(w.starts, np.minimum(w.ends, w.starts + 3)), CLASSES))
+        return cls(Words(texts, lower=True))
+
+    def _id(self, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+        return (self.words.span_hash(starts, ends) >> np.uint64(40)).astype(np.uint32) % np.uint32(n)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.words.hashes()
+
+    @cached_property
+    def start(self) -> np.ndarray:
+        w = self.words
+        return self._id(w.starts, np.minimum(w.ends, w.starts + 4), STARTS)
+
+    @cached_property
+    def tail(self) -> np.ndarray:
+        w = self.words
+        return self._id(np.maximum(w.starts, w.ends - 3), w.ends, TAILS)
+
+    @cached_property
+    def word_class(self) -> np.ndarray:
+        w = self.words
+        return self._id(w.starts, np.minimum(w.ends, w.starts + 3), CLASSES)
 
     def sequences(self) -> tuple[np.ndarray, ...]:
         """(start ids, tail ids, targets, first): a place for each token to score, text after text."""
@@ -242,9 +335,17 @@ def _trained(w: np.ndarray):
     return run
 
 
+def class_frequencies(class_tokens: np.ndarray) -> Weights:
+    """The constants of the output layer with which every class, and the end, is as likely as it is frequent."""
+    n = class_tokens + 0.5
+    words = n[:CLASSES].reshape(GROUPS, MEMBERS)
+    groups = np.append(words.sum(1), n[CLASSES])
+    return {"c": np.log(groups / groups.sum()).astype(np.float32), "cg": np.log(words / words.sum(1, keepdims=True)).astype(np.float32)}
+
+
 def fit_attention(texts: DataFrame, class_tokens: np.ndarray) -> Weights:
     """Weights learned from all of columns text and id; class frequencies are the start."""
-    w = flat(first_weights() | {"c": np.log((class_tokens + 0.5) / (class_tokens + 0.5).sum()).astype(np.float32)})
+    w = flat(first_weights() | class_frequencies(class_tokens))
     for k in range(ROUNDS):
         part = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).select("text")
         mean = part.mapInArrow(_trained(w), "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
@@ -314,8 +415,8 @@ def score_block(texts: pa.Array, words: np.ndarray, times: np.ndarray, w: Weight
     steps, skip = np.arange(CONTEXT), CONTEXT - STRIDE
     short = length[text] <= STRIDE // 2  # short texts go apart, so that they are not padded to a whole window
     for group, wide in ((np.flatnonzero(short), STRIDE // 2), (np.flatnonzero(~short), CONTEXT)):
-        for low in range(0, len(group), 512):
-            at = group[low : low + 512]
+        for low in range(0, len(group), 128):
+            at = group[low : low + 128]
             place = (number[at] * STRIDE)[:, None] + steps[:wide]
             real = (place < length[text[at]][:, None]) & ((number[at] == 0)[:, None] | (steps[:wide] >= skip))
             place = first[text[at]][:, None] + np.minimum(place, length[text[at]][:, None] - 1)
