@@ -82,6 +82,13 @@ def test_batch_sizes_change_nothing(spark, n, r_rows, s_rows, ticks):
             assert sizes == [b[0] + b[1] - a[0] - a[1] for a, b in zip(steps, steps[1:], strict=False)]
 
 
+def test_streams_share_no_source(spark, tmp_path):
+    """Readers of one source write one map when they start, so streams of queries that run at once need their own."""
+    like = pair(spark, [], [])[0]
+    streams = [replay.paced_stream(spark, like, f"file://{tmp_path}/replay", "r") for _ in range(3)]
+    assert len({x._jdf.queryExecution().analyzed().collectLeaves().head().sourceName() for x in streams}) == 3
+
+
 def test_goes_on_from_a_checkpoint(spark, tmp_path):
     rng = random.Random(6)
     r, s = rows(rng, 40), rows(rng, 40)
