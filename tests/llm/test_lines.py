@@ -68,6 +68,27 @@ def test_classes_match_brute_force(spark, edits):
     assert sorted(map(tuple, found)) == sorted(brute(list(enumerate(texts)), edits).values())
 
 
+@pytest.mark.parametrize("frequent", [1, 4, 1000])
+def test_every_line_has_its_class(spark, monkeypatch, frequent):
+    """Each line of each document, also where it is no first occurrence: its class, links of it, and whether it stays."""
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    texts = [*noisy(5), None, "", "\n\n", "one"]
+    rows = list(enumerate(texts))
+    classes = {(i, pos): (n_links, kept) for i, pos, _, n_links, kept in brute(rows, 2).values()}
+    first = {}
+    expected = []
+    for i, text in rows:
+        for pos, line in enumerate((text or "").split("\n")):
+            if words(line):
+                place = first.setdefault(line, (i, pos))
+                expected.append((i, pos, *place, classes[place][0], classes[place][1] and place == (i, pos)))
+    found = L.line_members(docs(spark, texts), edits=2)
+    assert found.columns == ["doc_id", "line_no", "first_doc_id", "first_line_no", "n_links", "kept"]
+    assert sorted(map(tuple, found.collect())) == expected
+    left = {(i, x) for i, text in dedup(rows, 2).items() for x in text.split("\n") if words(x)}
+    assert {(r.doc_id, texts[r.doc_id].split("\n")[r.line_no]) for r in found.where("kept").collect()} == left
+
+
 def test_what_stays_matches_brute_force(spark):
     edits = 2
     texts = [*noisy(7, 12, 30), None, "", "\n\n", "one"]
