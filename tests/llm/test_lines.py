@@ -89,6 +89,16 @@ def test_every_line_has_its_class(spark, monkeypatch, frequent):
     assert {(r.doc_id, texts[r.doc_id].split("\n")[r.line_no]) for r in found.where("kept").collect()} == left
 
 
+def test_lines_of_a_carriage_return_have_a_class(spark):
+    """White space of the SQL is blanks and tabs; what goes out of a text is a line with a word."""
+    texts = ["a line of words\r\n\r\nmore\r", "other words here\r\n\r\n \t\n\x0b\n\x0c"]
+    found = {(r.doc_id, r.line_no): (r.n_times, r.kept) for r in line_classes(docs(spark, texts)).collect()}
+    assert found == {(0, 0): (1, True), (0, 1): (2, True), (0, 2): (1, True), (1, 0): (1, True), (1, 3): (1, True), (1, 4): (1, True)}
+    members = {(r.doc_id, r.line_no): ((r.first_doc_id, r.first_line_no), r.kept) for r in L.line_members(docs(spark, texts)).collect()}
+    assert members == {**{place: (place, True) for place in found}, (1, 1): ((0, 1), False)}
+    assert {r.doc_id: r.text for r in dedup_lines(docs(spark, texts)).collect()} == dict(enumerate(texts))
+
+
 def test_what_stays_matches_brute_force(spark):
     edits = 2
     texts = [*noisy(7, 12, 30), None, "", "\n\n", "one"]
